@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, tokenfile
+from . import bpe, neardup, tokenfile
 from .common import table
 
 
@@ -14,9 +14,13 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op2_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op6_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfile.read_digests(tokenfile.write_files(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json")))
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe, op6_token_file)}
+QUERIES = {f.__name__: f for f in (op1_bpe, op2_minhash, op6_token_file)}
 ORACLES: dict[str, str] = {}
