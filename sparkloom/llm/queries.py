@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, neardup, pii, tokenfile
+from . import bpe, decontam, neardup, pii, tokenfile, toxicity
 from .common import table
 
 
@@ -18,6 +18,10 @@ def op2_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op6_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfile.read_digests(tokenfile.write_files(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json")))
 
@@ -44,5 +48,5 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIG
 FROM d LEFT JOIN covered USING (doc_id) LEFT JOIN named USING (doc_id)
 """
 
-QUERIES = {f.__name__: f for f in (op1_bpe, op2_minhash, op6_token_file, op8_winnowing, op10_pii)}
+QUERIES = {f.__name__: f for f in (op1_bpe, op2_minhash, op5_toxicity, op6_token_file, op8_winnowing, op10_pii)}
 ORACLES: dict[str, str] = {"op8_winnowing": OP8_SQL}
