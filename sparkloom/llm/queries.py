@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, neardup, pii, tokenfile, toxicity
+from . import ann, bpe, decontam, neardup, pii, tokenfile, toxicity
 from .common import table
 
 
@@ -31,6 +31,10 @@ def op8_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
 
 
+def op9_hnsw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(table(spark, sf_dir, "embeddings"))
+
+
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digests(table(spark, sf_dir, "documents"))
 
@@ -48,5 +52,5 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIG
 FROM d LEFT JOIN covered USING (doc_id) LEFT JOIN named USING (doc_id)
 """
 
-QUERIES = {f.__name__: f for f in (op1_bpe, op2_minhash, op5_toxicity, op6_token_file, op8_winnowing, op10_pii)}
+QUERIES = {f.__name__: f for f in (op1_bpe, op2_minhash, op5_toxicity, op6_token_file, op8_winnowing, op9_hnsw, op10_pii)}
 ORACLES: dict[str, str] = {"op8_winnowing": OP8_SQL}
