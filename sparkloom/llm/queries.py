@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, decontam, neardup, pii, tokenfile, toxicity
+from . import ann, bpe, chat, decontam, license, neardup, pii, tokenfile, toxicity
 from .common import table
 
 
@@ -18,6 +18,21 @@ def op2_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op3_license(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license.scan(table(spark, sf_dir, "documents"))
+
+
+def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each turn of a user is a call with the turn and its text as arguments, which needs the call before it; the assistant's next turn is its result."""
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").where("conv_id IS NOT NULL AND turn IS NOT NULL")
+    said = turns.where("role = 'user'")
+    calls = said.select("conv_id", F.col("turn").cast("string").alias("call_id"), F.lit("reply").alias("name"), F.to_json(F.struct("turn", "text")).alias("arguments"), F.array().cast("array<string>").alias("needs"))
+    results = turns.where("role = 'assistant'").select("conv_id", (F.col("turn") - 1).cast("string").alias("call_id"), F.col("text").alias("content"))
+    schemas = spark.createDataFrame([("reply", "turn", "integer", True), ("reply", "text", "string", True)], "name string, field string, type string, required boolean")
+    found = chat.link_calls(calls, results, schemas)
+    return found.select("conv_id", "call_id", "name", F.col("level").cast("int").alias("level"), "linked", "valid", F.sha2("json", 256).alias("json_sha256"))
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -52,5 +67,24 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIG
 FROM d LEFT JOIN covered USING (doc_id) LEFT JOIN named USING (doc_id)
 """
 
-QUERIES = {f.__name__: f for f in (op1_bpe, op2_minhash, op5_toxicity, op6_token_file, op8_winnowing, op9_hnsw, op10_pii)}
-ORACLES: dict[str, str] = {"op8_winnowing": OP8_SQL}
+QUERIES = {f.__name__: f for f in (op1_bpe, op2_minhash, op3_license, op5_toxicity, op6_token_file, op7_chat, op8_winnowing, op9_hnsw, op10_pii)}
+OP7_SQL = """
+WITH c AS (SELECT conv_id, CAST(turn AS VARCHAR) AS call_id, min(to_json(struct_pack("text" := text, turn := turn))) AS arguments, bool_or(text IS NOT NULL) AS has_text FROM conversations WHERE role = 'user' AND conv_id IS NOT NULL AND turn IS NOT NULL GROUP BY ALL),
+r AS (SELECT conv_id, CAST(turn - 1 AS VARCHAR) AS call_id, min(coalesce(text, '')) AS result FROM conversations WHERE role = 'assistant' AND conv_id IS NOT NULL AND turn IS NOT NULL GROUP BY ALL)
+SELECT conv_id, call_id, 'reply' AS name, 0 AS level, result IS NOT NULL AS linked, has_text AS valid,
+sha256('{"arguments":' || arguments || ',"id":"' || call_id || '","name":"reply","result":' || coalesce(CAST(to_json(result) AS VARCHAR), 'null') || '}') AS json_sha256
+FROM c LEFT JOIN r USING (conv_id, call_id)
+"""
+
+_OP3_TEMPLATES = ", ".join("('{}', '{}')".format(k, v.replace("'", "''")) for k, v in license.TEMPLATES.items())
+OP3_SQL = f"""
+WITH src(kind, id, text) AS (SELECT 'd', CAST(doc_id AS VARCHAR), text FROM documents UNION ALL SELECT 't', name, text FROM (VALUES {_OP3_TEMPLATES}) AS t(name, text)),
+w AS (SELECT kind, id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM src),
+g AS (SELECT kind, id, len(w) AS n, pos, array_to_string(w[pos + 1:pos + 5], ' ') AS gram FROM (SELECT kind, id, w, unnest(range(greatest(len(w) - 4, 0))) AS pos FROM w)),
+t AS (SELECT DISTINCT id AS license, gram, CAST(ceil(n * 1.5 - 4) AS BIGINT) AS span, n_all FROM g JOIN (SELECT id, count(DISTINCT gram) AS n_all FROM g WHERE kind = 't' GROUP BY id) USING (id) WHERE kind = 't'),
+m AS (SELECT id, license, span, n_all, pos, t.gram FROM g JOIN t ON g.gram = t.gram WHERE kind = 'd'),
+c AS (SELECT a.id, a.license, a.n_all, a.pos, count(DISTINCT b.gram) AS n FROM m a JOIN m b ON a.id = b.id AND a.license = b.license AND b.pos BETWEEN a.pos AND a.pos + a.span - 1 GROUP BY ALL)
+SELECT CAST(id AS BIGINT) AS doc_id, license, CAST(max(n) AS INTEGER) AS n_found, CAST(max(n_all) AS INTEGER) AS n_shingles, CAST(arg_min(pos, struct_pack(a := -n, b := pos)) AS INTEGER) AS start
+FROM c GROUP BY id, license HAVING max(n) >= 0.75 * max(n_all)
+"""
+ORACLES: dict[str, str] = {"op3_license": OP3_SQL, "op7_chat": OP7_SQL, "op8_winnowing": OP8_SQL}

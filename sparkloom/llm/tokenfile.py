@@ -8,17 +8,18 @@ File format, all integers little-endian:
     documents for each document: i64 id, u64 position of its first id among the ids of all files, u32 number of ids
     index    u64 start of each block in the file, u32 documents, u32 blocks, u64 ids, u64 start of the documents, u64 start of the index, b"1RFP"
 
-The width is the least that holds a stated share of a block's differences, or one that makes the block smaller still; the rest are exceptions. So a few large ids don't widen a block.
+The width is the least that holds a stated share of a block's differences; the rest are exceptions. So a few large ids don't widen a block.
 A reader seeks from the index to the block that holds any id.
 """
 
 from __future__ import annotations
 
+import re
 import struct
 import zlib
+from array import array
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +32,8 @@ from .common import Cache, written
 BLOCK = 1024
 SHARE = 0.9
 MAGIC, CIGAM = b"PFR1", b"1RFP"
+#: Letters, then marks: the pre-tokenizer parts them.
+MARKED = re.compile("([A-Za-zÀ-ÖØ-öø-ɏ]+)([.,;:!?]+)").fullmatch
 DOCUMENT = np.dtype([("doc", "<i8"), ("start", "<u8"), ("n", "<u4")])
 TAIL = struct.Struct("<IIQQQ4s")
 
@@ -39,11 +42,11 @@ def pack_block(ids: np.ndarray, share: float = SHARE) -> bytes:
     """One block of 1 to 65,535 ids below 2**32."""
     least = int(ids.min())
     rest = (ids - np.uint32(least)).astype(np.uint32)
-    widths = np.frompyfunc(int.bit_length, 1, 1)(int(rest[-1]) if len(rest) == 1 else np.sort(rest)[int(np.ceil(share * len(rest))) - 1])
-    width = int(widths)
+    place = int(np.ceil(share * len(rest))) - 1
+    width = int(np.partition(rest, place)[place]).bit_length()
     high = (rest >> np.uint32(width)) if width < 32 else np.zeros_like(rest)
     places = np.flatnonzero(high)
-    bits = ((rest[:, None] >> np.arange(width, dtype=np.uint32)) & 1).astype(np.uint8)
+    bits = np.unpackbits(rest.astype("<u4").view(np.uint8).reshape(-1, 4), axis=1, bitorder="little")[:, :width]
     return b"".join([struct.pack("<IBBH", least, width, 0, len(places)), np.packbits(bits.ravel(), bitorder="little").tobytes(), places.astype("<u2").tobytes(), high[places].astype("<u4").tobytes()])
 
 
@@ -51,8 +54,9 @@ def unpack_block(data: bytes, n: int) -> np.ndarray:
     """The n ids of a block that starts at data's first byte."""
     least, width, _, exceptions = struct.unpack_from("<IBBH", data)
     size = (n * width + 7) // 8
-    bits = np.unpackbits(np.frombuffer(data, np.uint8, size, 8), count=n * width, bitorder="little").reshape(n, width)
-    out = (bits.astype(np.uint32) << np.arange(width, dtype=np.uint32)).sum(axis=1, dtype=np.uint32) if width else np.zeros(n, np.uint32)
+    bits = np.zeros((n, 32), np.uint8)
+    bits[:, :width] = np.unpackbits(np.frombuffer(data, np.uint8, size, 8), count=n * width, bitorder="little").reshape(n, width)
+    out = np.packbits(bits, axis=1, bitorder="little").view("<u4").ravel().astype(np.uint32)
     places = np.frombuffer(data, "<u2", exceptions, 8 + size)
     out[places] |= np.frombuffer(data, "<u4", exceptions, 8 + size + 2 * exceptions).astype(np.uint32) << np.uint32(width)
     return out + np.uint32(least)
@@ -106,22 +110,37 @@ class TokenFile:
 class WordTokenizer:
     """The library's encoding of whole texts, with what stands between ASCII white space kept in a bounded cache.
 
-    Its normalizer and pre-tokenizer treat what white space divides on its own, so the ids of a text are those of its parts in order.
+    Its normalizer and pre-tokenizer treat what white space divides on its own, so the ids of a text are those of its parts in order. Likewise a part of letters and marks is
+    the letters' ids and the marks', and A-Z in parts of ASCII characters may be in lower case from the start. (Elsewhere it may not: composition comes first.)
     """
 
     def __init__(self, path: str):
         self.library = Tokenizer.from_file(path)
         self.library.encode_special_tokens = True
-        self.known = Cache(None)
+        self.known, self.words = Cache(None, 600_000), Cache(None, 800_000)  # ids as little-endian 32-bit integers
+
+    def _learn(self, parts: list[bytes]) -> None:
+        """Puts new parts into the cache."""
+        split = []
+        for p in parts:
+            text = p.decode()
+            if p.isascii():
+                text = text.lower()
+            m = MARKED(text)
+            split.append(m.groups() if m else (text,))
+        new = list({w for x in split for w in x if w not in self.words})
+        for i in range(0, len(new), 20_000):
+            some = new[i : i + 20_000]
+            self.words.update(zip(some, (array("I", e.ids).tobytes() for e in self.library.encode_batch_fast(some, add_special_tokens=False)), strict=True))
+        words = self.words
+        self.known.update((p, words[x[0]] if len(x) == 1 else words[x[0]] + words[x[1]]) for p, x in zip(parts, split, strict=True))
 
-    def encode(self, texts: list[str | None]) -> list[list[int]]:
+    def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         self.known.trim()
+        self.words.trim()
         parts = [(x or "").encode("utf-8", "replace").split() for x in texts]
-        new = list({p for x in parts for p in x if p not in self.known})
-        for i in range(0, len(new), 20_000):
-            some = new[i : i + 20_000]
-            self.known.update(zip(some, (e.ids for e in self.library.encode_batch_fast([p.decode() for p in some], add_special_tokens=False)), strict=True))
-        return [list(chain.from_iterable(map(self.known.__getitem__, x))) for x in parts]
+        self._learn(list(set().union(*parts).difference(self.known)))
+        return [np.frombuffer(b"".join(map(self.known.__getitem__, x)), np.uint32) for x in parts]
 
 
 @lru_cache(maxsize=2)
@@ -160,16 +179,15 @@ def write_files(docs: DataFrame, path: str, end_id: int = 2, block: int = BLOCK,
             for at in range(0, batch.num_rows, 256):
                 some = batch.slice(at, 256)
                 for doc, ids in zip(some.column(0).to_pylist(), words.encode(some.column(1).to_pylist()), strict=True):
-                    ids.append(end_id)
-                    held.append((NO_ID if doc is None else doc, np.array(ids, np.uint32)))
-                    size += len(ids)
+                    held.append((NO_ID if doc is None else doc, np.append(ids, np.uint32(end_id))))
+                    size += len(ids) + 1
                     if size >= file_ids:
                         yield image()
                         seq, first, held, size = seq + 1, first + size, [], 0
         if held:
             yield image()
 
-    ordered = docs.select(docs[id_col].cast("long").alias("d"), docs[text_col].cast("string").alias("t")).repartitionByRange("d", "t").sortWithinPartitions("d", "t")
+    ordered = docs.select(docs[id_col].cast("long").alias("d"), docs[text_col].cast("string").alias("t")).repartitionByRange("d").sortWithinPartitions("d", "t")
     files = written(ordered.mapInArrow(run, "part long, seq int, first long, n_ids long, file binary"))
     before, at = [], 0
     for part, n in sorted((r.part, r.n) for r in files.groupBy("part").agg(F.sum("n_ids").alias("n")).collect()):
