@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, chat, decontam, license, neardup, pii, tokenfile, toxicity
+from . import ann, bpe, chat, decontam, license, neardup, pii, substring, tokenfile, toxicity
 from .common import table
 
 
@@ -33,6 +33,10 @@ def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("conv_id", "call_id", "name", F.col("level").cast("int").alias("level"), "linked", "valid", F.sha2("json", 256).alias("json_sha256"))
 
 
+def op4_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.repeated_passages(table(spark, sf_dir, "documents"))
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -67,7 +71,7 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIG
 FROM d LEFT JOIN covered USING (doc_id) LEFT JOIN named USING (doc_id)
 """
 
-QUERIES = {f.__name__: f for f in (op1_bpe, op2_minhash, op3_license, op5_toxicity, op6_token_file, op7_chat, op8_winnowing, op9_hnsw, op10_pii)}
+QUERIES = {f.__name__: f for f in (op1_bpe, op2_minhash, op3_license, op4_passages, op5_toxicity, op6_token_file, op7_chat, op8_winnowing, op9_hnsw, op10_pii)}
 OP7_SQL = """
 WITH c AS (SELECT conv_id, CAST(turn AS VARCHAR) AS call_id, min(to_json(struct_pack("text" := text, turn := turn))) AS arguments, bool_or(text IS NOT NULL) AS has_text FROM conversations WHERE role = 'user' AND conv_id IS NOT NULL AND turn IS NOT NULL GROUP BY ALL),
 r AS (SELECT conv_id, CAST(turn - 1 AS VARCHAR) AS call_id, min(coalesce(text, '')) AS result FROM conversations WHERE role = 'assistant' AND conv_id IS NOT NULL AND turn IS NOT NULL GROUP BY ALL)
