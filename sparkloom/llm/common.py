@@ -44,6 +44,11 @@ def written(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def few(rows: DataFrame, most: int) -> DataFrame:
+    """The rows, to be broadcast if a count shows that they are not more than most; else a join shuffles."""
+    return F.broadcast(rows) if rows.limit(most + 1).count() <= most else rows
+
+
 def ascii_lower(column):
     """Lower-cases A-Z and nothing else. lower() does that for texts of ASCII characters alone and is much faster than translate()."""
     upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Cache, written
+from .common import Cache, few, written
 from .components import connected_components
 
 WORDS = 5
@@ -32,6 +32,8 @@ PERCENT = 75
 BANDS, ROWS, BITS = 32, 4, 4
 #: Signatures whose estimate lies more than six standard deviations below the threshold rule a pair out.
 MARGIN = 6.0
+#: So many ids of candidates at most are broadcast, to read their texts again; more are joined by a shuffle.
+BROADCAST_IDS = 1_000_000
 #: Members in a block.
 BLOCK = 256
 
@@ -51,7 +53,7 @@ class Shingler:
     """Sets of 64-bit shingle hashes of texts; words are what ASCII white space divides, with A-Z in lower case."""
 
     def __init__(self, words: int = WORDS):
-        self.words, self.known = words, Cache(xxhash.xxh3_64_intdigest)
+        self.words, self.known = words, Cache(xxhash.xxh3_64_intdigest, 200_000)
 
     def hashes(self, text: str | None) -> np.ndarray:
         self.known.trim()
@@ -136,11 +138,14 @@ def _longs(column) -> np.ndarray:
     return np.array(column.tolist(), np.int64).reshape(len(column), -1).view(np.uint64)
 
 
-def near_links(items: DataFrame, sets: Callable[[DataFrame], DataFrame], percent: int = PERCENT, bits: int = BITS) -> DataFrame:
+def near_links(items: DataFrame, sets: Callable[[DataFrame], DataFrame], percent: int = PERCENT, bits: int = BITS, loose: int | None = None) -> DataFrame:
     """Links (u, v) that connect what all links of similar items would connect.
 
     items: id long, bands array<long>, sig array<long>, each id once. sets: gets a DataFrame of distinct ids (id) and returns (id, hashes array<long>).
     An empty table gives no links.
+
+    loose is for bands that unlike items share often, and for small sets: all members are compared exactly with their hubs, and only those similar to that percentage make groups for the
+    second step. At 50 for links of 75 that loses no link of an item that is linked with the hub: what is within a distance of 0.25 of it is within 0.5 of the hub.
     """
     spark = items.sparkSession
     first = items.select("sig").first()
@@ -154,16 +159,21 @@ def near_links(items: DataFrame, sets: Callable[[DataFrame], DataFrame], percent
     hubs = member.join(degree, "id").groupBy("key").agg((-F.max(F.struct("d", (-F.col("id")).alias("least")))["least"]).alias("hub"))
     star = written(member.join(hubs, "key").where("id <> hub").select("id", "hub").distinct())
     sig = items.select("id", "sig")
-    scored = star.join(sig, "id").join(sig.select(F.col("id").alias("hub"), F.col("sig").alias("hub_sig")), "hub").select("id", "hub", _estimate(F.col("sig"), F.col("hub_sig"), n_sig, bits).alias("agree"))
-    best = scored.where(F.col("agree") >= least_equal(n_sig * (64 // bits), percent, bits)).groupBy("id").agg((-F.max(F.struct("agree", (-F.col("hub")).alias("least")))["least"]).alias("hub"))
-    best = written(best)
     touched = star.select("id").unionByName(star.select(F.col("hub").alias("id"))).distinct()
     hashes = written(sets(touched))
     of_hub = hashes.select(F.col("id").alias("hub"), F.col("hashes").alias("hub_hashes"))
     inter = F.size(F.array_intersect("hashes", "hub_hashes"))
-    linked = written(best.join(hashes, "id").join(of_hub, "hub").where(100 * inter >= percent * (F.size("hashes") + F.size("hub_hashes") - inter)).select(F.col("id").alias("u"), F.col("hub").alias("v")))
-
-    groups = connected_components(star.select(F.col("id").alias("u"), F.col("hub").alias("v"))).withColumnRenamed("component", "g")
+    judge = lambda pairs: written(pairs.join(hashes, "id").join(of_hub, "hub").select("id", "hub", inter.alias("both"), (F.size("hashes") + F.size("hub_hashes") - inter).alias("all")))
+    named = lambda pairs: pairs.select(F.col("id").alias("u"), F.col("hub").alias("v"))
+    if loose is None:
+        scored = star.join(sig, "id").join(sig.select(F.col("id").alias("hub"), F.col("sig").alias("hub_sig")), "hub").select("id", "hub", _estimate(F.col("sig"), F.col("hub_sig"), n_sig, bits).alias("agree"))
+        best = scored.where(F.col("agree") >= least_equal(n_sig * (64 // bits), percent, bits)).groupBy("id").agg((-F.max(F.struct("agree", (-F.col("hub")).alias("least")))["least"]).alias("hub"))
+        judged, near = judge(best), star
+    else:
+        judged = judge(star)
+        near = judged.where(f"100 * `both` >= {loose} * `all`")
+    linked = named(judged.where(f"100 * `both` >= {percent} * `all`"))
+    groups = connected_components(named(near)).withColumnRenamed("component", "g")
     so_far = connected_components(linked)
     state = written(groups.join(so_far, "id", "left").select("id", "g", F.coalesce("component", "id").alias("comp")))
     parts = state.groupBy("g", "comp").agg(F.count("*").alias("n")).groupBy("g").agg(F.sum("n").alias("size"), F.count("*").alias("comps"), F.max(F.struct("n", (-F.col("comp")).alias("least"))).alias("top"))
@@ -268,10 +278,10 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
     ids = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"))
 
     def sets(touched: DataFrame) -> DataFrame:
-        return shingle_sets(ids.join(touched.withColumnRenamed("id", "doc_id"), "doc_id", "left_semi"), words).dropDuplicates(["id"])
+        return shingle_sets(ids.join(few(touched.withColumnRenamed("id", "doc_id"), BROADCAST_IDS), "doc_id", "left_semi"), words).dropDuplicates(["id"])
 
     links = near_links(written(reps), sets, percent, bits).unionByName(ties)
     component = connected_components(links).withColumnRenamed("id", "rep")
     joined = found.select("doc_id", "n_shingles", "k1", "k2").join(classes, ["k1", "k2"], "left").join(component, "rep", "left")
-    linked = F.when(F.col("n_shingles") > 0, F.coalesce("component", "rep", "doc_id")).otherwise(F.col("doc_id"))
+    linked = F.when(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0), F.coalesce("component", "rep", "doc_id")).otherwise(F.col("doc_id"))
     return joined.select("doc_id", "n_shingles", linked.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
