@@ -11,12 +11,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, written
+from .common import ascii_lower, few, written
 
 WINDOW, GRAM = 10, 5
 #: Word characters: digits, ASCII letters and everything beyond ASCII.
 WORD = "[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
-#: Fingerprint tables of so many rows at most are broadcast; larger ones are joined by a shuffle.
+#: Tables of fingerprints, or of the documents that share some, of so many rows at most are broadcast; larger ones are joined by a shuffle.
 BROADCAST_ROWS = 100_000
 
 
@@ -43,11 +43,6 @@ def _hashed(rows: DataFrame, gram: int) -> DataFrame:
     return with_h.withColumn("g", F.transform(_positions(F.size("h"), gram), lambda i: F.xxhash64(*(F.get(F.col("h"), i + k) for k in range(gram)))))
 
 
-def _small(rows: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
-    """The rows, to be broadcast if a count shows that they are few."""
-    return F.broadcast(rows) if rows.limit(most + 1).count() <= most else rows
-
-
 def hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
     """(doc_id, starts array<int>, widths array<int>, items array<string>): the places of the windows in a document that are windows of an item, and the items' ids.
 
@@ -63,9 +58,9 @@ def hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, gram: int
     prints = lambda w: fingerprints(F.col("h"), F.col("g"), w, gram)
     index = items.select("item_id", "words", "width", F.posexplode(pick(prints)).alias("at", "print"))
     index = written(index.select("item_id", "width", "print", F.array_join(F.slice("words", F.col("at") + 1, F.col("width")), " ").alias("window")))
-    seen = _small(index.select("width", "print").distinct())
+    seen = few(index.select("width", "print").distinct(), BROADCAST_ROWS)
     found = index.groupBy("width", "window").agg(F.collect_set("item_id").alias("items"))
-    found = _small(found)
+    found = few(found, BROADCAST_ROWS)
 
     source = docs.select(docs["doc_id"], docs["text"]).where("doc_id IS NOT NULL AND text IS NOT NULL")
     worded = lambda rows: _hashed(rows.select("doc_id", words_of(F.col("text")).alias("words"), *(c for c in rows.columns if c not in ("doc_id", "text"))), gram)
@@ -73,7 +68,7 @@ def hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, gram: int
     shared = worded(source).select("doc_id", F.explode(each).alias("x")).select("doc_id", "x.width", F.explode("x.prints").alias("print")).join(seen, ["width", "print"], "left_semi")
     shared = written(shared.groupBy("doc_id").agg(F.collect_set(F.struct("width", "print")).alias("shared")))
 
-    again = worded(source.join(shared, "doc_id"))
+    again = worded(source.join(few(shared, BROADCAST_ROWS), "doc_id"))
     place = lambda w: F.transform(F.filter(F.arrays_zip(_positions(F.size("h"), w).alias("at"), prints(w).alias("print")), lambda x: F.array_contains(F.col(f"p{w}"), x["print"])), lambda x: F.struct(x["at"].alias("at"), F.lit(w).alias("width")))
     of_width = lambda w: F.transform(F.filter("shared", lambda x: x["width"] == w), lambda x: x["print"])
     again = again.withColumns({f"p{w}": of_width(w) for w in widths})

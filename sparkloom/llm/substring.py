@@ -17,9 +17,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from .common import written
+from .common import few, written
 from .components import connected_components
-from .decontam import _small
 from .neardup import _MIX, _SEEDS, PERCENT, WORDS, Shingler, mix, near_links, packed
 
 #: Bands of one minimum each: paragraphs of a similarity of 0.75 meet with a probability of 0.94, equal ones with certainty.
@@ -29,6 +28,8 @@ RADIUS = 4
 #: Words of whole paragraphs that a passage has at least; what it has before its first cut and after its last doesn't count.
 PASSAGE = 15
 _FIELDS = 16
+#: One common run of words makes unlike paragraphs meet; those less similar to their bucket's hub are compared with no others.
+LOOSE = 50
 
 
 def cuts(h: np.ndarray, radius: int = RADIUS) -> np.ndarray:
@@ -138,17 +139,17 @@ def repeated_passages(docs: DataFrame, passage: int = PASSAGE, radius: int = RAD
     units = written(_units(source, radius, bands))
     keys = units.select("id", F.explode("bands").alias("band"))
     shared = keys.groupBy("band").agg(F.min("id").alias("a"), F.max("id").alias("b")).where("a < b").select("band")
-    candidates = written(units.join(keys.join(_small(written(shared), 1_000_000), "band", "left_semi").select("id").distinct(), "id", "left_semi").groupBy("id").agg(F.min("doc_id").alias("doc_id"), F.first("bands").alias("bands")))
+    candidates = written(units.join(keys.join(few(written(shared), 1_000_000), "band", "left_semi").select("id").distinct(), "id", "left_semi").groupBy("id").agg(F.min("doc_id").alias("doc_id"), F.first("bands").alias("bands")))
     asked = candidates.groupBy("doc_id").agg(F.collect_list("id").alias("wanted"))  # as many as a document has paragraphs
-    chosen = written(_chosen(source.join(asked, "doc_id"), radius).dropDuplicates(["id"]))
+    chosen = written(_chosen(source.join(few(asked, 200_000), "doc_id"), radius).dropDuplicates(["id"]))
     items = written(candidates.select("id", "bands").join(chosen.select("id", "sig"), "id"))
-    links = near_links(items, lambda touched: chosen.select("id", "hashes").join(touched, "id", "left_semi"), percent)
-    component = _small(connected_components(links), 500_000)
+    links = near_links(items, lambda touched: chosen.select("id", "hashes").join(touched, "id", "left_semi"), percent, loose=LOOSE)
+    component = few(connected_components(links), 500_000)
 
     linked = units.select("id", "doc_id", "first", "end").join(component, "id", "left").select(F.coalesce("component", "id").alias("c"), "doc_id", "first", "end")
     first_place = F.min(F.struct("doc_id", "first"))
     repeated = linked.groupBy("c").agg(first_place.alias("place"), F.max("doc_id").alias("last")).where("place.doc_id < last").select("c", "place")
-    marked = written(linked.join(_small(written(repeated), 500_000), "c").select("doc_id", "first", "end", "c", (F.struct("doc_id", "first") != F.col("place")).alias("gone")).distinct())
+    marked = written(linked.join(few(written(repeated), 500_000), "c").select("doc_id", "first", "end", "c", (F.struct("doc_id", "first") != F.col("place")).alias("gone")).distinct())
     in_order = Window.partitionBy("doc_id").orderBy("first", "end")
     starts = F.coalesce(F.lag("end").over(in_order) != F.col("first"), F.lit(True)).cast("int")
     runs = marked.withColumn("starts", starts).withColumn("run", F.sum("starts").over(in_order))
@@ -160,13 +161,14 @@ def remove_passages(docs: DataFrame, passage: int = PASSAGE) -> DataFrame:
     """docs without the words of passages that aren't kept; other texts, all rows and columns stay as they are."""
     gone = repeated_passages(docs, passage).where("NOT kept").groupBy("doc_id").agg(F.collect_list(F.struct("first", "end")).alias("gone_"))
     joined = docs.join(gone.withColumnRenamed("doc_id", "id_"), docs["doc_id"] == F.col("id_"), "left").select(docs["*"], F.to_json("gone_").alias("gone_"))
-    place, lists = docs.columns.index("text"), len(docs.columns)
+    names = docs.columns
+    place, lists = names.index("text"), len(names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = [cut_words(t, g) for t, g in zip(batch.column(place).to_pylist(), batch.column(lists).to_pylist(), strict=True)]
             columns = [pa.array(texts, pa.string()) if i == place else batch.column(i) for i in range(lists)]
-            yield pa.RecordBatch.from_arrays(columns, names=docs.columns)
+            yield pa.RecordBatch.from_arrays(columns, names=names)
 
     return joined.mapInArrow(run, docs.schema)
 
