@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Cache, written
+from .common import Cache, few, written
 
 DIMENSIONS = 1 << 20
 PREFIXES = (4, 5, 6)
@@ -49,7 +49,7 @@ class Model:
     weights: dict[int, float]
 
     def scorer(self):
-        known = Cache(lambda w: tuple(i for i in feature_ids(w) if i in self.weights))
+        known = Cache(lambda w: tuple(i for i in feature_ids(w) if i in self.weights), 200_000)
 
         def score(text: str | None) -> float:
             known.trim()
@@ -90,7 +90,7 @@ def _present(rows: DataFrame, wanted: dict[int, int] | None = None) -> DataFrame
     """rows (toxic, text) as (toxic boolean, ids array<int>): all distinct feature ids, or places of the wanted ones."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = Cache(feature_ids if wanted is None else lambda w: tuple(wanted[i] for i in feature_ids(w) if i in wanted), 200_000)
+        known = Cache(feature_ids if wanted is None else lambda w: tuple(wanted[i] for i in feature_ids(w) if i in wanted), 100_000)
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 some = batch.slice(at, 256)
@@ -116,7 +116,8 @@ def fit(docs: DataFrame, labels: DataFrame, most_toxic: int = MOST_TOXIC, most_u
         return Model(-500.0, {})
     prior = min(max(n[1] / n[0], 1e-4), 0.9)
     share = lambda most, of: F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(min(1.0, most / max(of, 1)) * (1 << 20))
-    toxic = texts.join(known.where((F.col("toxic") == 1) & share(most_toxic, n[1])).select("doc_id"), "doc_id", "left_semi").select(F.lit(True).alias("toxic"), "text")
+    examples = few(known.where((F.col("toxic") == 1) & share(most_toxic, n[1])).select("doc_id"), 2 * most_toxic)
+    toxic = texts.join(examples, "doc_id", "left_semi").select(F.lit(True).alias("toxic"), "text")
     rows = written(toxic.unionByName(texts.where(share(most_unlabelled, n_docs)).select(F.lit(False).alias("toxic"), "text")))
     sizes = {r.toxic: r.n for r in rows.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     n_p, n_u = sizes.get(True, 0), sizes.get(False, 0)
