@@ -34,6 +34,7 @@ SHARE = 0.9
 MAGIC, CIGAM = b"PFR1", b"1RFP"
 #: Letters, then marks: the pre-tokenizer parts them.
 MARKED = re.compile("([A-Za-zÀ-ÖØ-öø-ɏ]+)([.,;:!?]+)").fullmatch
+LETTERS = re.compile("[A-Za-zÀ-ÖØ-öø-ɏ]+").fullmatch
 DOCUMENT = np.dtype([("doc", "<i8"), ("start", "<u8"), ("n", "<u4")])
 TAIL = struct.Struct("<IIQQQ4s")
 
@@ -128,18 +129,36 @@ class WordTokenizer:
                 text = text.lower()
             m = MARKED(text)
             split.append(m.groups() if m else (text,))
-        new = list({w for x in split for w in x if w not in self.words})
-        for i in range(0, len(new), 20_000):
-            some = new[i : i + 20_000]
+        new = {w for x in split for w in x if w not in self.words}
+        plain = [w for w in new if LETTERS(w)]
+        for i in range(0, len(plain), 2000):
+            self._learn_plain(plain[i : i + 2000])
+        rest = list(new.difference(plain))
+        for i in range(0, len(rest), 20_000):
+            some = rest[i : i + 20_000]
             self.words.update(zip(some, (array("I", e.ids).tobytes() for e in self.library.encode_batch_fast(some, add_special_tokens=False)), strict=True))
         words = self.words
         self.known.update((p, words[x[0]] if len(x) == 1 else words[x[0]] + words[x[1]]) for p, x in zip(parts, split, strict=True))
 
+    def _learn_plain(self, words: list[str]) -> None:
+        """The same for words of letters alone, of which one text is made: each is one word of it."""
+        found = self.library.encode(" ".join(words), add_special_tokens=False)
+        ids, of = np.array(found.ids, "<u4"), np.array(found.word_ids, np.int64)
+        ends = np.searchsorted(of, np.arange(len(words)), "right").tolist()
+        data, at = ids.tobytes(), 0
+        for w, end in zip(words, ends, strict=True):
+            self.words[w] = data[4 * at : 4 * end]
+            at = end
+
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
-        self.known.trim()
         self.words.trim()
         parts = [(x or "").encode("utf-8", "replace").split() for x in texts]
-        self._learn(list(set().union(*parts).difference(self.known)))
+        here = set().union(*parts)
+        if len(self.known) > self.known.most:  # what is in use stays
+            kept = {p: self.known[p] for p in here if p in self.known}
+            self.known.clear()
+            self.known.update(kept)
+        self._learn(list(here.difference(self.known)))
         return [np.frombuffer(b"".join(map(self.known.__getitem__, x)), np.uint32) for x in parts]
 
 
