@@ -19,6 +19,7 @@ from collections.abc import Iterator
 from functools import lru_cache
 from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 import regex
 import tiktoken
@@ -90,6 +91,10 @@ class ByteBpe:
         half = len(ids) // 2
         return self.decode(ids[:half]) + self.decode(ids[half:])
 
+    def forget(self) -> None:
+        for known in (self.pieces, self.heads, self.spaced):
+            known.clear()
+
     def encode(self, text: str | None) -> list[int]:
         """The ids of a text; none for None or an empty text.
 
@@ -123,9 +128,14 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, id_col: str = "do
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = tokenizer(path, pattern)
-        for batch in batches:
-            ids = [bpe.encode(x) for x in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32())), pa.array([bpe.decode(x) for x in ids], pa.binary())], names=["id", "ids", "decoded"])
+        try:
+            for batch in batches:
+                for at in range(0, batch.num_rows, 512):
+                    some = batch.slice(at, 512)
+                    ids = [np.array(bpe.encode(x.as_py()), np.int32) for x in some.column(1)]
+                    yield pa.RecordBatch.from_arrays([some.column(0), pa.array(ids, pa.list_(pa.int32())), pa.array([bpe.decode(x.tolist()) for x in ids], pa.binary())], names=["id", "ids", "decoded"])
+        finally:
+            bpe.forget()  # the worker goes on to other work, which needs the memory
 
     out = docs.select(docs[id_col].alias("id"), docs[text_col].cast("string").alias("t")).mapInArrow(run, f"id {kind}, ids array<int>, decoded binary")
     return out.withColumnRenamed("id", id_col)
