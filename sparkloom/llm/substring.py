@@ -1,9 +1,9 @@
 """Repeated passages across documents, by MinHash banding of paragraphs.
 
 Texts often repeat passages inside longer lines, so a paragraph here is what the words themselves delimit: a text is cut before each word whose hash, with its neighbour's, is the least within RADIUS words on
-either side. A passage is therefore cut in the same places wherever it stands, but for its ends. Paragraphs with equal words are one item. Paragraphs that share the minimum of one of their
-bands are compared exactly, by their sets of 5-word shingles, and links make components; the first place of a component is kept, and the others are removals. Neighbouring repeated paragraphs are one passage, and
-passages under a stated length are left alone.
+either side. A passage is therefore cut in the same places wherever it stands, but for its ends. Paragraphs with equal words are one item. All paragraphs that are similar enough by their sets of
+5-word shingles are found: each is banded by as many of its least shingles as such a pair shares one of, a band that many share is split by the next shingle they share, and what stays together is compared exactly. Links make
+components; the first place of a component is kept, and the others are removals. Neighbouring repeated paragraphs are one passage, and passages under a stated length are left alone.
 """
 
 from __future__ import annotations
@@ -19,17 +19,15 @@ from pyspark.sql import Window
 
 from .common import few, written
 from .components import connected_components
-from .neardup import _MIX, _SEEDS, PERCENT, WORDS, Shingler, mix, near_links, packed
+from .neardup import _MIX, PERCENT, WORDS, Shingler, mix
 
-#: Bands of one minimum each: paragraphs of a similarity of 0.75 meet with a probability of 0.94, equal ones with certainty.
-BANDS = 2
 #: With 4, paragraphs have nine words on average, and one repeated passage of 51 words in 500 is seen in less than PASSAGE words.
 RADIUS = 4
 #: Words of whole paragraphs that a passage has at least; what it has before its first cut and after its last doesn't count.
 PASSAGE = 15
-_FIELDS = 16
-#: One common run of words makes unlike paragraphs meet; those less similar to their bucket's hub are compared with no others.
-LOOSE = 50
+#: Members of a band that are compared with each other at once; bands with more are split by a further shingle, LEVELS - 1 times, and then compared block by block.
+HOT = 128
+LEVELS = 3
 
 
 def cuts(h: np.ndarray, radius: int = RADIUS) -> np.ndarray:
@@ -56,79 +54,171 @@ def paragraphs(shingler: Shingler, text: str | None, radius: int = RADIUS) -> tu
     return first, end, mix(total + (end - first).astype(np.uint64)).view(np.int64), h
 
 
-def _minima(shingler: Shingler, h: np.ndarray, first: np.ndarray, end: np.ndarray, n: int) -> np.ndarray:
-    """n minima of each paragraph's shingles, a row each."""
-    out = np.empty((len(first), n), np.uint32)
+def _sets(shingler: Shingler, h: np.ndarray, first: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(paragraph, shingle) of the distinct shingles of a text's paragraphs, in ascending order."""
     k = shingler.words
-    long = end - first >= k
+    short = np.flatnonzero(end - first < k)
+    owner, found = [short], [np.array([shingler.shingles(h[first[i] : end[i]])[0] for i in short], np.uint64)]
     if len(h) >= k:
         total = np.full(len(h) - k + 1, k, np.uint64)
         for i in range(k):
             total = total + h[i : len(h) - k + 1 + i] * _MIX[i]
-        low = (mix(total) >> np.uint64(16)).astype(np.uint32)
-        a = first[long]
+        of = np.repeat(np.arange(len(first)), end - first)
         # the shingles that run over a paragraph's end are no one's
-        owned = np.zeros(len(low), bool)
-        for x, y in zip(a, end[long] - k + 1, strict=True):
-            owned[x:y] = True
-        for j in range(n):
-            if len(a):
-                out[long, j] = np.minimum.reduceat(np.where(owned, low * _SEEDS[0][j] + _SEEDS[1][j], np.uint32(0xFFFFFFFF)), a)
-    for i in np.flatnonzero(~long):
-        low = (shingler.shingles(h[first[i] : end[i]]) >> np.uint64(16)).astype(np.uint32)
-        out[i] = (low[:, None] * _SEEDS[0][:n] + _SEEDS[1][:n]).min(axis=0)
-    return out
+        inside = of[: len(total)] == of[k - 1 :]
+        owner.append(of[: len(total)][inside])
+        found.append(mix(total[inside]))
+    of, values = np.concatenate(owner), np.concatenate(found).view(np.int64)
+    order = np.lexsort((values, of))
+    of, values = of[order], values[order]
+    new = np.ones(len(of), bool)
+    new[1:] = (of[1:] != of[:-1]) | (values[1:] != values[:-1])
+    return of[new], values[new]
+
+
+def _least(n: np.ndarray, percent: int) -> np.ndarray:
+    """How many of the n shingles of a paragraph, the least ones, hold one that any similar paragraph has among its own.
+
+    A similar pair has percent / 100 of the larger set in common. So of each set at most n minus that many can come before the first common one.
+    """
+    return n - (percent * n + 99) // 100 + 1
 
 
-def _units(docs: DataFrame, radius: int, bands: int) -> DataFrame:
-    """doc_id, first, end, id, bands of all paragraphs."""
+def _units(docs: DataFrame, radius: int, percent: int) -> DataFrame:
+    """doc_id, first, end, id, bands (its least shingles) of all paragraphs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(WORDS)
         for batch in batches:
             for at in range(0, batch.num_rows, 1024):
                 some = batch.slice(at, 1024)
-                rows: list[list[np.ndarray]] = [[] for _ in range(5)]
+                rows: list[list[np.ndarray]] = [[] for _ in range(6)]
                 for doc, text in zip(some.column(0).to_pylist(), some.column(1), strict=True):
                     first, end, key, h = paragraphs(shingler, text.as_py(), radius)
                     if len(first):
-                        least = _minima(shingler, h, first, end, bands).astype(np.uint64)
-                        keys = mix(least * _MIX[43] + np.arange(bands, dtype=np.uint64) * _MIX[44]).view(np.int64)
-                        for row, x in zip(rows, (np.full(len(first), doc, np.int64), first, end, key, keys.ravel()), strict=True):
+                        of, values = _sets(shingler, h, first, end)
+                        n = np.bincount(of, minlength=len(first))
+                        need = _least(n, percent)
+                        rank = np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n)
+                        for row, x in zip(rows, (np.full(len(first), doc, np.int64), first, end, key, need, values[rank < need[of]]), strict=True):
                             row.append(x)
                 if rows[0]:
-                    doc, first, end, key, keys = (np.concatenate(x) for x in rows)
-                    lists = pa.ListArray.from_arrays(pa.array(np.arange(len(doc) + 1, dtype=np.int32) * bands), pa.array(keys))
+                    doc, first, end, key, need, keys = (np.concatenate(x) for x in rows)
+                    lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(need)]).astype(np.int32)), pa.array(keys))
                     yield pa.RecordBatch.from_arrays([pa.array(doc), pa.array(first.astype(np.int32)), pa.array(end.astype(np.int32)), pa.array(key), lists], names=["doc_id", "first", "end", "id", "bands"])
 
     return docs.mapInArrow(run, "doc_id long, first int, end int, id long, bands array<long>")
 
 
 def _chosen(docs: DataFrame, radius: int) -> DataFrame:
-    """id, hashes and sig of paragraphs of docs (doc_id, text, wanted: the ids)."""
+    """id and hashes (in ascending order) of paragraphs of docs (doc_id, text, wanted: the ids)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(WORDS)
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 some = batch.slice(at, 256)
-                ids, sets, sigs = [], [], []
+                ids, sets = [], []
                 for text, wanted in zip(some.column(0), some.column(1).to_pylist(), strict=True):
                     first, end, key, h = paragraphs(shingler, text.as_py(), radius)
                     asked = set(wanted)
                     for i in [i for i, x in enumerate(key.tolist()) if x in asked]:
-                        s = shingler.shingles(h[first[i] : end[i]])
-                        low = (s >> np.uint64(16)).astype(np.uint32)
                         ids.append(int(key[i]))
-                        sets.append(np.sort(s.view(np.int64)))
-                        sigs.append(packed((low[:, None] * _SEEDS[0][:_FIELDS] + _SEEDS[1][:_FIELDS]).min(axis=0)))
-                kind = pa.list_(pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sets, kind), pa.array(sigs, kind)], names=["id", "hashes", "sig"])
+                        sets.append(np.sort(shingler.shingles(h[first[i] : end[i]]).view(np.int64)))
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], names=["id", "hashes"])
+
+    return docs.select("text", "wanted").mapInArrow(run, "id long, hashes array<long>")
+
+
+def _joined(ids: list[int], sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
+    """Links that connect what all similar pairs of the sets would connect."""
+    if len(ids) < 8:
+        own, out = [set(x.tolist()) for x in sets], []
+        for i, x in enumerate(own):
+            for k in range(i):
+                both = len(x & own[k])
+                if 100 * both >= percent * (len(x) + len(own[k]) - both):
+                    out.append((ids[i], ids[k]))
+        return out
+    sizes = np.array([len(x) for x in sets])
+    _, token, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    owner, often = np.repeat(np.arange(len(sets)), sizes), times > 1
+    place = np.cumsum(often) - 1
+    owner, token = owner[often[token]], place[token[often[token]]]
+    common = np.zeros((len(sets), len(sets)), np.float32)
+    for at in range(0, int(often.sum()), 4096):
+        some = (token >= at) & (token < at + 4096)
+        has = np.zeros((len(sets), 4096), np.float32)
+        has[owner[some], token[some] - at] = 1
+        common += has @ has.T
+    good = 100 * common >= percent * (sizes[:, None] + sizes[None, :] - common)
+    np.fill_diagonal(good, True)  # shingles of one set alone aren't counted
+    label = np.arange(len(sets))
+    while True:
+        least = np.where(good, label[None, :], len(sets)).min(axis=1)
+        if (least == label).all():
+            return [(ids[i], ids[k]) for i, k in enumerate(label.tolist()) if i != k]
+        label = least
+
 
-    return docs.select("text", "wanted").mapInArrow(run, "id long, hashes array<long>, sig array<long>")
+def _compared(rows: DataFrame, percent: int) -> DataFrame:
+    """Links (u, v) within the groups of rows (key long, id long, hashes array<long>), each of which fits in memory."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, ids, sets = None, [], []
+        for batch in batches:
+            out: list[tuple[int, int]] = []
+            lists = batch.column(2)
+            at, flat = lists.offsets.to_numpy(), lists.values.to_numpy()
+            for i, (key, id_) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
+                if key != now:
+                    if len(ids) > 1:
+                        out += _joined(ids, sets, percent)
+                    now, ids, sets = key, [], []
+                ids.append(id_)
+                sets.append(flat[at[i] : at[i + 1]])
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], names=["u", "v"])
+        out = _joined(ids, sets, percent) if len(ids) > 1 else []
+        yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], names=["u", "v"])
+
+    return rows.select("key", "id", "hashes").repartition("key").sortWithinPartitions("key").mapInArrow(run, "u long, v long")
+
+
+def similar_links(items: DataFrame, percent: int = PERCENT, hot: int = HOT, levels: int = LEVELS) -> DataFrame:
+    """Links (u, v) that connect what all pairs of similar items would connect. items: id long, hashes array<long> (distinct, in ascending order), each id once.
+
+    A pair whose first l common shingles, in ascending order, are s1 .. sl has them among the first _least() + l - 1 (need + l - 1 here) of each, and meets in the band of those. Where a band of l has more than
+    hot members, a pair that has nothing else in common is linked through the band's smallest set, which is then as similar to both; the others meet again in a band of l + 1.
+    No pair is left out: bands of the last level are compared whole, in blocks, whatever their size.
+    """
+    rows = items.select("id", "hashes", (F.size("hashes") - F.ceil(F.size("hashes") * percent / 100) + 1).cast("int").alias("need")).where("size(hashes) > 0")
+    rows = rows.select("id", "hashes", "need", F.posexplode(F.slice("hashes", F.lit(1), F.col("need"))).alias("p", "key"))
+    found, n = [], F.size("hashes")
+    for level in range(1, levels + 1):
+        hub = F.min(F.struct(n.alias("n"), "id"))
+        full = written(rows.groupBy("key").agg(F.count("*").alias("c"), hub.alias("hub")).where(F.col("c") > hot))
+        if full.isEmpty():
+            found.append(written(_compared(rows, percent)))
+            break
+        full = few(full, 200_000)
+        found.append(written(_compared(rows.join(full.select("key"), "key", "left_anti"), percent)))
+        many = written(rows.join(full, "key"))
+        alike = (100 * level >= percent * (n + F.col("hub.n") - level)) & (F.col("id") != F.col("hub.id"))
+        found.append(many.where(alike).select(F.col("id").alias("u"), F.col("hub.id").alias("v")))
+        if level < levels:
+            following = F.posexplode(F.slice("hashes", F.col("p") + 2, F.col("need") + level - F.col("p") - 1)).alias("q", "token")
+            rows = many.select("id", "hashes", "need", "p", "key", following).select("id", "hashes", "need", (F.col("p") + 1 + F.col("q")).alias("p"), F.xxhash64("key", "token").alias("key"))
+        else:
+            blocks = F.ceil(F.col("c") * 2 / hot).cast("int")
+            dealt = many.withColumn("i", F.pmod(F.xxhash64("id", F.lit(1)), blocks).cast("int")).withColumn("j", F.explode(F.sequence(F.lit(0), blocks - 1)))
+            found.append(written(_compared(dealt.withColumn("key", F.xxhash64("key", F.least("i", "j"), F.greatest("i", "j"))), percent)))
+    out = found[0]
+    for x in found[1:]:
+        out = out.unionByName(x)
+    return out
 
 
-def repeated_passages(docs: DataFrame, passage: int = PASSAGE, radius: int = RADIUS, bands: int = BANDS, percent: int = PERCENT) -> DataFrame:
+def repeated_passages(docs: DataFrame, passage: int = PASSAGE, radius: int = RADIUS, percent: int = PERCENT) -> DataFrame:
     """doc_id, first, end (of the words that ASCII white space divides; end exclusive), n_words, component_id, kept of each passage that also stands in another document.
 
     component_id is the least of its paragraphs' components (a hash); kept marks a passage all of whose paragraphs are the first places, by doc_id and word, of their components, so those not
@@ -136,14 +226,13 @@ def repeated_passages(docs: DataFrame, passage: int = PASSAGE, radius: int = RAD
     columns aren't read. An empty table gives an empty one. Texts are read whole.
     """
     source = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text")).where("doc_id IS NOT NULL AND text IS NOT NULL")
-    units = written(_units(source, radius, bands))
+    units = written(_units(source, radius, percent))
     keys = units.select("id", F.explode("bands").alias("band"))
     shared = keys.groupBy("band").agg(F.min("id").alias("a"), F.max("id").alias("b")).where("a < b").select("band")
-    candidates = written(units.join(keys.join(few(written(shared), 1_000_000), "band", "left_semi").select("id").distinct(), "id", "left_semi").groupBy("id").agg(F.min("doc_id").alias("doc_id"), F.first("bands").alias("bands")))
+    candidates = written(units.join(keys.join(few(written(shared), 1_000_000), "band", "left_semi").select("id").distinct(), "id", "left_semi").groupBy("id").agg(F.min("doc_id").alias("doc_id")))
     asked = candidates.groupBy("doc_id").agg(F.collect_list("id").alias("wanted"))  # as many as a document has paragraphs
     chosen = written(_chosen(source.join(few(asked, 200_000), "doc_id"), radius).dropDuplicates(["id"]))
-    items = written(candidates.select("id", "bands").join(chosen.select("id", "sig"), "id"))
-    links = near_links(items, lambda touched: chosen.select("id", "hashes").join(touched, "id", "left_semi"), percent, loose=LOOSE)
+    links = similar_links(chosen, percent)
     component = few(connected_components(links), 500_000)
 
     linked = units.select("id", "doc_id", "first", "end").join(component, "id", "left").select(F.coalesce("component", "id").alias("c"), "doc_id", "first", "end")

@@ -113,3 +113,41 @@ def test_near_passages(spark):
     rows = [(i, " ".join(["".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(10)])) for i in range(20)] + [(50, " ".join(base)), (51, " ".join(base))]
     found = substring.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert {r.doc_id for r in found} == {50, 51}
+
+
+def partition(pairs):
+    groups = {}
+    for i, c in pairs:
+        groups.setdefault(c, set()).add(i)
+    return sorted(map(sorted, (g for g in groups.values() if len(g) > 1)))
+
+
+def test_near_passages_unlike_their_hub(spark):
+    """Near copies are linked also where most of those that share a run of words with them are unlike them."""
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    run = [word() for _ in range(5)]
+    rows = []
+    for i in range(150):
+        w = run + [word() for _ in range(4)] if i % 2 else [word() for _ in range(4)] + run
+        rows += [(2 * i, " ".join(w)), (2 * i + 1, " ".join(w[:-1] if i % 2 else w[1:]))]
+    found = substring.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string"), passage=1).collect()
+    assert partition((r.doc_id, r.component_id) for r in found) == partition((i, c) for i, (_, c) in brute(rows).items()) == [[2 * i, 2 * i + 1] for i in range(150)]
+
+
+def test_similar_links(spark):
+    """Bands of any size, split or in blocks, against all pairs."""
+    rng = random.Random(6)
+    sets = {tuple(sorted(rng.sample(range(14), rng.randrange(1, 10)))) for _ in range(300)} | {tuple(sorted({*range(20, 36), *rng.sample(range(36, 60), rng.randrange(5))} - {rng.randrange(20, 36)})) for _ in range(60)}
+    sets |= {tuple(sorted([0, 1, 2, *rng.sample(range(100, 900), rng.randrange(1, 6))])) for _ in range(200)}
+    rows = [(i, list(x)) for i, x in enumerate(sorted(sets))]
+    root = list(range(len(rows)))
+    for i, x in rows:
+        for k, y in rows[:i]:
+            both = len(set(x) & set(y))
+            if 100 * both >= 75 * (len(x) + len(y) - both) and root[i] != root[k]:
+                root = [min(root[i], root[k]) if r in (root[i], root[k]) else r for r in root]
+    items = spark.createDataFrame(rows, "id long, hashes array<long>")
+    for hot, levels in ((10_000, 3), (6, 3), (2, 6), (4, 1)):
+        got = components.connected_components(substring.similar_links(items, hot=hot, levels=levels)).collect()
+        assert partition((r.id, r.component) for r in got) == partition(enumerate(root)), (hot, levels)
