@@ -49,7 +49,7 @@ def _valid(kind: Column, x: Column) -> Column:
 
 
 def mentions(docs: DataFrame) -> DataFrame:
-    """The valid matches: doc_id, h (a hash of the text), kind, kind_no, start, end (code points, end exclusive), value, pre and post (the text around, up to the next match of the kind).
+    """The valid matches: doc_id, h (a hash of the text), kind, kind_no, start, end (code points, end exclusive), value, pre and post (the text around, up to the next match of the kind), last (whether post reaches the text's end).
 
     Rows that repeat id and text count once; a null text has no matches.
     """
@@ -63,27 +63,28 @@ def mentions(docs: DataFrame) -> DataFrame:
     between = F.coalesce(*(F.when(F.col("kind") == kind, F.split("text", p, -1)) for kind, p in KINDS.items()))
     per_kind = per_kind.select("doc_id", "h", "kind_no", "kind", "found", between.alias("between"))
     zipped = F.arrays_zip(F.col("found").alias("value"), F.slice("between", F.lit(1), F.size("found")).alias("before"), F.slice("between", F.lit(2), F.size("found")).alias("after"))
-    rows = per_kind.select("doc_id", "h", "kind_no", "kind", F.posexplode(zipped).alias("k", "x"))
-    rows = rows.select("doc_id", "h", "kind_no", "kind", "k", "x.value", F.length("x.before").alias("skip"), F.right("x.before", F.lit(NEAR)).alias("pre"), F.left("x.after", F.lit(NEAR)).alias("post"))
+    rows = per_kind.select("doc_id", "h", "kind_no", "kind", F.size("found").alias("n"), F.posexplode(zipped).alias("k", "x"))
+    rows = rows.select("doc_id", "h", "kind_no", "kind", "k", "x.value", F.length("x.before").alias("skip"), F.right("x.before", F.lit(NEAR)).alias("pre"), F.left("x.after", F.lit(NEAR)).alias("post"), ((F.col("k") == F.col("n") - 1) & (F.length("x.after") <= NEAR)).alias("last"))
     rows = rows.repartition("doc_id", "h").dropDuplicates(["doc_id", "h", "kind_no", "k"])
     upto = Window.partitionBy("doc_id", "h", "kind_no").orderBy("k").rowsBetween(Window.unboundedPreceding, 0)
     end = F.sum(F.col("skip") + F.length("value")).over(upto)
     placed = rows.withColumn("end", end).withColumn("start", F.col("end") - F.length("value"))
-    return placed.where(_valid(F.col("kind"), F.col("value"))).select("doc_id", "h", "kind", "kind_no", "start", "end", "value", "pre", "post")
+    return placed.where(_valid(F.col("kind"), F.col("value"))).select("doc_id", "h", "kind", "kind_no", "start", "end", "value", "pre", "post", "last")
 
 
-def _terms(near: Column, at: Column) -> Column:
-    """The words in a context that begins at a position, as (term, start, end); none that touches its ends, as it may go on there."""
+def _terms(near: Column, at: Column, opens: Column, closes: Column) -> Column:
+    """The words in a context that begins at a position, as (term, start, end); none that touches its ends, as it may go on there, unless the text opens or closes there."""
     found, between = F.regexp_extract_all(near, F.lit(TERM), F.lit(0)), F.split(near, TERM, -1)
     ends = lambda i: F.aggregate(F.slice(F.zip_with(F.slice(between, 1, F.size(found)), found, lambda b, w: F.length(b) + F.length(w)), F.lit(1), i + 1), F.lit(0), lambda a, x: a + x)  # noqa: E731  at most NEAR / 4 words
     placed = F.transform(found, lambda w, i: F.struct(F.xxhash64(F.lower(w)).alias("term"), (at + ends(i) - F.length(w)).alias("start"), (at + ends(i)).alias("end")))
-    return F.filter(placed, lambda x: (x["start"] > at) & (x["end"] < at + F.length(near)))
+    return F.filter(placed, lambda x: (opens | (x["start"] > at)) & (closes | (x["end"] < at + F.length(near))))
 
 
 def disclosing(docs: DataFrame, base: DataFrame, share: float = SHARE, support: int = SUPPORT) -> DataFrame:
     """doc_id, h, start, end of the words near mentions (base) that disclose the mentioned entity."""
     entity = F.xxhash64("kind", F.lower("value"))
-    around = F.concat(_terms(F.col("pre"), F.col("start") - F.length("pre")), _terms(F.col("post"), F.col("end")))
+    from_ = F.col("start") - F.length("pre")
+    around = F.concat(_terms(F.col("pre"), from_, from_ == 0, F.lit(False)), _terms(F.col("post"), F.col("end"), F.lit(False), F.col("last")))
     words = base.select("doc_id", "h", entity.alias("entity"), F.explode(around).alias("x")).select("doc_id", "h", "entity", "x.*")
     words = written(words)
     both = words.select("doc_id", "h", "entity", "term").distinct().groupBy("entity", "term").agg(F.count("*").alias("n_both")).where(F.col("n_both") >= support)

@@ -109,6 +109,17 @@ def test_disclosing_words(spark):
     assert out[10].text == docs[3][1] and out[99].text == "common words here: <EMAIL> today"
 
 
+def test_disclosing_words_at_the_ends(spark):
+    """A text's first and last words count; words that a context's end cuts don't."""
+    docs = [(i, t) for i, t in enumerate(["Zebulon: z.b@example.org", "Zebulon: z.b@example.org is it", "write to q.r@example.org, Quillon", "or q.r@example.org, Quillon"])] + [(10 + i, "common words here and today nothing else") for i in range(40)]
+    docs += [(60 + i, f"{'Wolframite' * 9} u@example.net") for i in range(2)]
+    found = pii.found_spans(spark.createDataFrame(docs, "doc_id long, text string"))
+    no_python(found)
+    texts = dict(docs)
+    terms = {r.doc_id: [texts[r.doc_id][x.start : x.end] for x in r.found if x.kind == "term"] for r in found.collect()}
+    assert {d: t for d, t in terms.items() if t} == {0: ["Zebulon"], 1: ["Zebulon"], 2: ["Quillon"], 3: ["Quillon"]}
+
+
 def test_sanitise_overlaps(spark):
     text = "call +1.2.3.4.55555555 now"
     assert brute_spans(text) and len(brute_spans(text)) >= 1
