@@ -1,8 +1,11 @@
 import hashlib
+import os
 import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 import public_tokenizers as P
 import pytest
 import tiktoken
@@ -11,7 +14,7 @@ from tokenizers import Tokenizer
 from sparkloom.llm import bpe, tokenfile
 
 RANKS, WORDS = P.path("byte_bpe_multi_50k.tiktoken"), P.path("word_bpe_49k.json")
-PARTS = ["a", "The ", " ", "\n", "é", "日本", "\x85", "\x1c", "'s", "1", "..", "\t", "é", "J̌", "Σ", "ΑΣ ", "x" * 70, "　", "<|endoftext|>", "word.", "WORD, ", " é!", "ab" * 90, "  "]
+PARTS = ["a", "The ", " ", "\n", "é", "日本", "\x85", "\x1c", "'s", "1", "..", "\t", "é", "J̌", "Σ", "ΑΣ ", "x" * 70, "　", "<|endoftext|>", "<|EndOfText|>", "<|startoftext|>", "don't", "K", "word.", "WORD, ", " é!", "ab" * 90, "  "]
 
 
 @pytest.fixture(scope="module")
@@ -49,12 +52,42 @@ def test_encode_is_the_librarys(library):
         assert t.encode(s) == enc.encode_ordinary(s)
 
 
+def merged_ids(t, data):
+    return [t.ranks[x] for x in merged(data, t.ranks)]
+
+
 def test_join_is_associative(library):
     t, _ = library
     rng = random.Random(6)
     for _ in range(100):
-        a, b, c = (t._tree(bytes(rng.choice(b"abcthe") for _ in range(rng.randrange(40)))) for _ in range(3))
-        assert t.join(t.join(a, b), c) == t.join(a, t.join(b, c)) == t._merge(t.decode([*a, *b, *c]))
+        data = [bytes(rng.choice(b"abcthe") for _ in range(rng.randrange(40))) for _ in range(3)]
+        a, b, c = (merged_ids(t, x) for x in data)
+        assert t.join(t.join(a, b), c) == t.join(a, t.join(b, c)) == merged_ids(t, b"".join(data))
+
+
+def test_spans_of_any_bytes(library):
+    """Leaves, windows and long merges against the merging of bytes; bytes that are no text too."""
+    t, _ = library
+    rng = random.Random(12)
+    spans = [bytes(rng.choice(b"abcthe \xc3\xa9\xff") for _ in range(rng.choice([0, 1, 7, 8, 9, 16, 17, 60, 300]))) for _ in range(400)] + [b"a" * 777, b"the" * 200]
+    ids, n = t.encode_matches(spans)
+    at = np.concatenate([[0], np.cumsum(n)])
+    for i, s in enumerate(spans):
+        wanted = merged_ids(t, s)
+        assert ids[at[i] : at[i + 1]].tolist() == wanted and (not s or t._merge_one(s).tolist() == wanted)
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="the test tables aren't here")
+def test_a_corpus_is_joined_up_trees(library):
+    """The ids of a corpus come from joins, and are the library's."""
+    t, enc = library
+    texts = pq.read_table("/root/testdata/sf0.001/documents.parquet", columns=["text"])["text"].combine_chunks()
+    t.known.clear()
+    t.joins = 0
+    ids, at = t.encode_texts(texts)
+    for i, text in enumerate(texts.to_pylist()):
+        assert ids[at[i] : at[i + 1]].tolist() == enc.encode_ordinary(text or "")
+    assert t.joins > 1000
 
 
 def test_rows(spark, library):
@@ -91,18 +124,20 @@ def test_files():
 
 
 def test_words_are_the_librarys():
+    """The library as it is loaded, added tokens in a text included."""
     own, library = tokenfile.WordTokenizer(WORDS), Tokenizer.from_file(WORDS)
-    library.encode_special_tokens = True
     rng = random.Random(7)
-    for _ in range(400):
-        s = "".join(rng.choice(PARTS) for _ in range(rng.randrange(12)))
-        assert own.encode([s])[0].tolist() == library.encode(s, add_special_tokens=False).ids, s
+    texts = ["".join(rng.choice(PARTS) for _ in range(rng.randrange(12))) for _ in range(600)] + [None, "", " "]
+    for end in (None, 2):
+        ids, at = own.encode(pa.array(texts), end)
+        for i, s in enumerate(texts):
+            assert ids[at[i] : at[i + 1]].tolist() == library.encode(s or "", add_special_tokens=False).ids + [end] * (end is not None), s
 
 
 def test_write_and_read(spark):
     rng = random.Random(8)
-    rows = [(k, " ".join(rng.choice(["the", "a", "word", "x1"]) for _ in range(rng.randrange(40)))) for k in range(200)] + [(500, None), (501, ""), (7, "twin"), (None, "nobody")]
-    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    rows = [(k, " ".join(rng.choice(["the", "a", "word", "x1"]) for _ in range(rng.randrange(40)))) for k in range(200)] + [(500, None), (501, ""), (7, "twin"), (None, "nobody"), (502, "the end <|endoftext|> of it"), (503, "a word " * 50_000), (-(2**63), "the least id")]
+    docs = spark.createDataFrame([(d, t, 0, b"x") for d, t in rows], "doc_id long, text string, first int, file binary").repartition(5)
     files = tokenfile.write_files(docs, WORDS, file_ids=100)
     got = tokenfile.read_files(files).orderBy("start").collect()
     library, at = Tokenizer.from_file(WORDS), 0
