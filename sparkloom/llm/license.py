@@ -2,7 +2,7 @@
 
 Templates and documents are cut into all windows of a few widths, a template into those of the largest width that it has. A window's MinHash is kept in bands of one minimum each, so windows whose
 5-word shingles have a similarity of s collide in one of four bands with a probability of 1 - (1 - s)**4: 0.996 at 0.75, 1 for equal ones. Collisions name a template; its shingles are then
-counted exactly in the document.
+counted exactly in the document. A collision needs a common shingle, so only documents that have one of any template are cut into windows.
 """
 
 from __future__ import annotations
@@ -61,7 +61,10 @@ def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, contained: floa
 
     source = docs.select(docs["doc_id"], docs["text"]).where("doc_id IS NOT NULL AND text IS NOT NULL")
     hashed = lambda rows: _hashed(rows.select("doc_id", words_of(F.col("text")).alias("words"), *(c for c in rows.columns if c not in ("doc_id", "text"))), gram)
-    found = hashed(source).select("doc_id", F.explode(F.array(*(_bands(F.col("g"), w, gram, bands) for w in widths))).alias("of")).select("doc_id", F.explode("of").alias("k")).select("doc_id", "k.*")
+    # windows whose minima are equal have that shingle in common, so a document without any shingle of a template needs no bands
+    some = F.array(*(F.lit(r.x) for r in known.select(F.explode("grams").alias("x")).distinct().orderBy("x").collect()))  # the templates' shingles, as few as these
+    sharing = hashed(source).select("doc_id", F.explode(F.when(F.arrays_overlap("g", some.cast("array<long>")), F.array("g"))).alias("g"))
+    found = sharing.select("doc_id", F.explode(F.array(*(_bands(F.col("g"), w, gram, bands) for w in widths))).alias("of")).select("doc_id", F.explode("of").alias("k")).select("doc_id", "k.*")
     pairs = written(found.join(keys, ["width", "band", "least"]).select("doc_id", "license").distinct())
 
     # a document's templates are as many as there are templates at most
