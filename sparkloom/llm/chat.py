@@ -17,23 +17,34 @@ def canonical(json):
 
 
 def levels(calls: DataFrame) -> DataFrame:
-    """conv_id, call_id, level: 0 for a call that needs no other, else one more than the highest of those it needs; null in a cycle, or where a needed call is missing.
+    """conv_id, call_id, level (long): 0 for a call that needs no other, else one more than the highest of those it needs; null for what needs itself or a missing call, directly or through others.
 
-    calls: conv_id, call_id, needs array<string>. Each round settles one level, by a join; the rounds are as many as the longest chain has calls.
+    calls: conv_id, call_id, needs array<string>; rows that repeat a key are one call with the needs of all. An empty table gives an empty one; other columns aren't read.
+
+    An edge u, v, w says that u lies w levels above v at least; without v, above none. Each round replaces v by its level if that is known, or by what v itself needs if that is one call, so a
+    chain takes as many rounds as its length has binary digits. Calls that need several others wait for these. Each round is a written table, joined by conversation and call, so a long
+    conversation is dealt out like many short ones; only counts come to the driver.
     """
-    needs = written(calls.select("conv_id", "call_id", F.explode(F.array_distinct(F.coalesce("needs", F.array().cast("array<string>")))).alias("need")).distinct())
-    all_calls = written(calls.select("conv_id", "call_id").distinct())
-    done = all_calls.join(needs.select("conv_id", "call_id"), ["conv_id", "call_id"], "left_anti").withColumn("level", F.lit(0))
-    open_, level = needs, 0
-    while not open_.isEmpty():
-        level += 1
-        met = open_.join(done.select("conv_id", F.col("call_id").alias("need"), F.lit(1).alias("met")), ["conv_id", "need"], "left")
-        ready = written(met.groupBy("conv_id", "call_id").agg(F.count("*").alias("n"), F.count("met").alias("n_met")).where("n = n_met").select("conv_id", "call_id", F.lit(level).alias("level")))
-        if ready.isEmpty():
-            break
-        done = done.unionByName(ready)
-        open_ = written(open_.join(ready, ["conv_id", "call_id"], "left_anti"))
-    return all_calls.join(done, ["conv_id", "call_id"], "left")
+    nodes = written(calls.select("conv_id", "call_id").distinct())
+    needs = F.explode(F.coalesce("needs", F.array().cast("array<string>")))
+    edges = written(calls.select("conv_id", F.col("call_id").alias("u"), needs.alias("v")).distinct().withColumn("w", F.lit(1).cast("long")))
+    done = nodes.join(edges.select("conv_id", F.col("u").alias("call_id")), ["conv_id", "call_id"], "left_anti").withColumn("level", F.lit(0).cast("long"))
+    most, mark = nodes.count(), None
+    while True:
+        found = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("conv_id", "u", "v", "w").cast("decimal(38,0)"))).first()
+        if not found.n or found == mark:
+            return nodes.join(done, ["conv_id", "call_id"], "left")
+        mark = found
+        one = F.count("*") == 1
+        after = edges.groupBy("conv_id", F.col("u").alias("v")).agg(F.when(one, F.max("v")).alias("x"), F.when(one, F.max("w")).alias("more"))
+        known = done.select("conv_id", F.col("call_id").alias("v"), F.lit(None).cast("string").alias("x"), F.col("level").alias("more"), F.lit(True).alias("settled"))
+        met = edges.join(known.unionByName(after.withColumn("settled", F.lit(False))), ["conv_id", "v"], "left")
+        new = F.when(~F.col("settled"), F.coalesce("x", "v")).otherwise(F.lit(None))
+        lost = F.coalesce((F.col("v").isNotNull() & F.col("settled").isNull()) | (new == F.col("u")), F.lit(False)) | (F.col("w") > most)  # a path longer than there are calls is a cycle
+        step = written(met.select("conv_id", "u", new.alias("v"), (F.col("w") + F.coalesce("more", F.lit(0).cast("long"))).alias("w"), lost.alias("lost")))
+        each = written(step.groupBy("conv_id", "u").agg(F.count("v").alias("n_open"), F.max("w").alias("level"), F.max("lost").alias("lost")).where("NOT lost"))
+        done = done.unionByName(each.where("n_open = 0").select("conv_id", F.col("u").alias("call_id"), "level"))
+        edges = written(step.join(each.where("n_open > 0").select("conv_id", "u"), ["conv_id", "u"], "left_semi").groupBy("conv_id", "u", "v").agg(F.max("w").alias("w")))
 
 
 def link_calls(calls: DataFrame, results: DataFrame, schemas: DataFrame) -> DataFrame:

@@ -23,10 +23,11 @@ def op3_license(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each turn of a user is a call with the turn and its text as arguments, which needs the call before it; the assistant's next turn is its result."""
+    """Each turn of a user is a call with the turn and its text as arguments, which needs the call two turns before it, if there is one; the assistant's next turn is its result."""
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").where("conv_id IS NOT NULL AND turn IS NOT NULL")
     said = turns.where("role = 'user'")
-    calls = said.select("conv_id", F.col("turn").cast("string").alias("call_id"), F.lit("reply").alias("name"), F.to_json(F.struct("turn", "text")).alias("arguments"), F.array().cast("array<string>").alias("needs"))
+    before = said.select("conv_id", (F.col("turn") + 2).alias("turn"), F.array(F.col("turn").cast("string")).alias("needs")).distinct()
+    calls = said.join(before, ["conv_id", "turn"], "left").select("conv_id", F.col("turn").cast("string").alias("call_id"), F.lit("reply").alias("name"), F.to_json(F.struct("turn", "text")).alias("arguments"), "needs")
     results = turns.where("role = 'assistant'").select("conv_id", (F.col("turn") - 1).cast("string").alias("call_id"), F.col("text").alias("content"))
     schemas = spark.createDataFrame([("reply", "turn", "integer", True), ("reply", "text", "string", True)], "name string, field string, type string, required boolean")
     found = chat.link_calls(calls, results, schemas)
@@ -73,11 +74,13 @@ FROM d LEFT JOIN covered USING (doc_id) LEFT JOIN named USING (doc_id)
 
 QUERIES = {f.__name__: f for f in (op1_bpe, op2_minhash, op3_license, op4_passages, op5_toxicity, op6_token_file, op7_chat, op8_winnowing, op9_hnsw, op10_pii)}
 OP7_SQL = """
-WITH c AS (SELECT conv_id, CAST(turn AS VARCHAR) AS call_id, min(to_json(struct_pack("text" := text, turn := turn))) AS arguments, bool_or(text IS NOT NULL) AS has_text FROM conversations WHERE role = 'user' AND conv_id IS NOT NULL AND turn IS NOT NULL GROUP BY ALL),
+WITH RECURSIVE u AS (SELECT DISTINCT conv_id, turn FROM conversations WHERE role = 'user' AND conv_id IS NOT NULL AND turn IS NOT NULL),
+lv AS (SELECT conv_id, turn, 0 AS level FROM u WHERE NOT EXISTS (SELECT 1 FROM u AS p WHERE p.conv_id = u.conv_id AND p.turn = u.turn - 2) UNION ALL SELECT u.conv_id, u.turn, lv.level + 1 FROM lv JOIN u ON u.conv_id = lv.conv_id AND u.turn = lv.turn + 2),
+c AS (SELECT conv_id, CAST(turn AS VARCHAR) AS call_id, min(to_json(struct_pack("text" := text, turn := turn))) AS arguments, bool_or(text IS NOT NULL) AS has_text FROM conversations WHERE role = 'user' AND conv_id IS NOT NULL AND turn IS NOT NULL GROUP BY ALL),
 r AS (SELECT conv_id, CAST(turn - 1 AS VARCHAR) AS call_id, min(coalesce(text, '')) AS result FROM conversations WHERE role = 'assistant' AND conv_id IS NOT NULL AND turn IS NOT NULL GROUP BY ALL)
-SELECT conv_id, call_id, 'reply' AS name, 0 AS level, result IS NOT NULL AS linked, has_text AS valid,
+SELECT conv_id, call_id, 'reply' AS name, CAST(level AS INTEGER) AS level, result IS NOT NULL AS linked, has_text AS valid,
 sha256('{"arguments":' || arguments || ',"id":"' || call_id || '","name":"reply","result":' || coalesce(CAST(to_json(result) AS VARCHAR), 'null') || '}') AS json_sha256
-FROM c LEFT JOIN r USING (conv_id, call_id)
+FROM c JOIN (SELECT conv_id, CAST(turn AS VARCHAR) AS call_id, level FROM lv) USING (conv_id, call_id) LEFT JOIN r USING (conv_id, call_id)
 """
 
 _OP3_TEMPLATES = ", ".join("('{}', '{}')".format(k, v.replace("'", "''")) for k, v in license.TEMPLATES.items())

@@ -161,6 +161,46 @@ def test_chats(spark):
     assert json.loads(got["c", "6"].json)["arguments"] is None and got["c", "2"].json.endswith('"result":null}')
 
 
+def brute_levels(needs):
+    """Levels by repeated rounds over all calls; those never settled have none."""
+    done = {}
+    while True:
+        new = {k: max((done[x] for x in v), default=-1) + 1 for k, v in needs.items() if k not in done and all(x in done for x in v)}
+        if not new:
+            return {k: done.get(k) for k in needs}
+        done.update(new)
+
+
+def test_levels(spark):
+    """Long chains, cycles, missing calls and calls that need several, against brute force."""
+    rng = random.Random(8)
+    needs = {}
+    for i in range(300):
+        needs["chain", str(i)] = [("chain", str(i - 1))] if i else []
+        needs["ring", str(i)] = [("ring", str((i + 1) % 40))] if i < 40 else [("ring", str(i - 1))]
+        needs["lost", str(i)] = [("lost", str(i - 1))]
+        needs["mixed", str(i)] = [("mixed", str(x)) for x in {rng.randrange(i) for _ in range(rng.randrange(4))}] if i else []
+        needs["odd", str(i)] = [("odd", str(x)) for x in {rng.randrange(i + 3) for _ in range(rng.choice([0, 1, 1, 2]))}]
+    rows = [(c, k, [x for _, x in v] or None) for (c, k), v in needs.items()]
+    frame = spark.createDataFrame(rows + rows[:50], "conv_id string, call_id string, needs array<string>").repartition(3)
+    found = chat.levels(frame)
+    no_python(found)
+    assert {(r.conv_id, r.call_id): r.level for r in found.collect()} == brute_levels(needs)
+    assert chat.levels(frame.limit(0)).count() == 0
+
+
+def test_chat_edges(spark):
+    """Empty tables, other columns of clashing names, very long texts."""
+    calls = spark.createDataFrame([("c", "1", "f", '{"a": "' + "x" * 300_000 + '"}', None, 5, True)], "conv_id string, call_id string, name string, arguments string, needs array<string>, level int, linked boolean")
+    results = spark.createDataFrame([("c", "1", "y" * 300_000, "z")], "conv_id string, call_id string, content string, result string")
+    schemas = spark.createDataFrame([("f", "a", "string", True, 1)], "name string, field string, type string, required boolean, types int")
+    got = chat.link_calls(calls, results, schemas).collect()
+    assert len(got) == 1 and got[0].valid and got[0].linked and len(got[0].json) > 600_000
+    assert chat.link_calls(calls.limit(0), results, schemas).count() == 0
+    alone = chat.link_calls(calls, results.limit(0), schemas.limit(0)).first()
+    assert not alone.valid and not alone.linked
+
+
 @pytest.mark.parametrize("text", ['{"b":1,"a":{"d":2,"c":[3, 4]}}', "[1,  2]", "1", "nope"])
 def test_canonical(spark, text):
     got = spark.createDataFrame([(text,)], "t string").select(chat.canonical(F.col("t")).alias("x")).first().x
