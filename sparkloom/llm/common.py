@@ -5,9 +5,12 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Tables that are shown to be no larger are broadcast.
+BROADCAST_BYTES = 32 << 20
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -44,9 +47,48 @@ def written(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def few(rows: DataFrame, most: int) -> DataFrame:
-    """The rows, to be broadcast if a count shows that they are not more than most; else a join shuffles."""
-    return F.broadcast(rows) if rows.limit(most + 1).count() <= most else rows
+def few(rows: DataFrame, most: int = BROADCAST_BYTES) -> DataFrame:
+    """The rows, to be broadcast if they are shown to take so many bytes at most, as JSON and 32 for each row; else a join shuffles. rows is read for that, so it should be a written table or a small plan."""
+    size = rows.agg(F.sum(F.octet_length(F.to_json(F.struct("*"))) + 32)).first()[0] or 0
+    return F.broadcast(rows) if size <= most else rows
+
+
+#: Keys of more than one in so many rows are hot; there are no more of them than that.
+HOT_KEYS = 20_000
+
+
+def join_counted(rows: DataFrame, counted: DataFrame, key: str, total: int) -> DataFrame:
+    """rows joined with counted (key, c, ..), where c says how many of the total rows have a key.
+
+    Rows of hot keys are joined where they are, with the broadcast rows of counted for them, of which there are HOT_KEYS at most; only the others are shuffled by the key. counted should be written.
+    """
+    limit = max(total // HOT_KEYS, 1000)
+    hot = counted.where(F.col("c") > limit)
+    spread = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(counted.where(F.col("c") <= limit), key)
+    return spread.unionByName(rows.join(F.broadcast(hot), key))
+
+
+def keys_of(docs: DataFrame) -> list[Column]:
+    """What tells documents apart: the id as a string, empty for null, and a hash of the text, null for null."""
+    text = docs["text"].cast("string")
+    return [F.coalesce(docs["doc_id"].cast("string"), F.lit("")), F.when(text.isNotNull(), F.xxhash64(text))]
+
+
+def keyed(docs: DataFrame) -> DataFrame:
+    """d and h, see keys_of(), and text of each row that has a text. Rows with the same d and h are the same document."""
+    d, h = keys_of(docs)
+    return docs.select(d.alias("d"), h.alias("h"), docs["text"].cast("string").alias("text")).where("text IS NOT NULL")
+
+
+def free(columns: list[str], *names: str) -> list[str]:
+    """The names, with underscores added until none is one of columns or of the names before it."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
 
 
 def ascii_lower(column):

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import few, written
-from .decontam import BROADCAST_ROWS, GRAM, _hashed, _positions, words_of
+from .decontam import GRAM, _hashed, _positions, words_of
 
 WIDTHS, BANDS = (5, 8, 12), 4
 CONTAINED = 0.75
@@ -56,7 +56,7 @@ def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, contained: floa
     known = _hashed(known.select("license", words_of(F.col("text")).alias("words")), gram).where(f"size(words) >= {gram}")
     fits = lambda w: (F.size("words") >= w) & ((F.size("words") < min([x for x in widths if x > w], default=1 << 30)))
     keys = known.select("license", F.explode(F.coalesce(*(F.when(fits(w), _bands(F.col("g"), w, gram, bands)) for w in widths))).alias("k")).select("license", "k.*")
-    keys = few(written(keys.distinct()), BROADCAST_ROWS)
+    keys = few(written(keys.distinct()))
     known = known.select("license", F.array_distinct("g").alias("grams"), F.ceil(F.size("words") * 1.5 - gram + 1).cast("int").alias("span"))
 
     source = docs.select(docs["doc_id"], docs["text"]).where("doc_id IS NOT NULL AND text IS NOT NULL")
@@ -68,7 +68,7 @@ def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, contained: floa
     pairs = written(found.join(keys, ["width", "band", "least"]).select("doc_id", "license").distinct())
 
     # a document's templates are as many as there are templates at most
-    asked = few(pairs.groupBy("doc_id").agg(F.collect_list("license").alias("licenses")), BROADCAST_ROWS)
+    asked = few(pairs.groupBy("doc_id").agg(F.collect_list("license").alias("licenses")))
     again = hashed(source.join(asked, "doc_id")).select("doc_id", "g", F.explode("licenses").alias("license"))
     again = again.join(F.broadcast(known), "license").select("doc_id", "g", F.struct("license", "grams", "span").alias("t"))  # the templates are few, as a parameter
     places = F.filter(_positions(F.size("g"), 1), lambda i: F.array_contains("t.grams", F.get("g", i)))

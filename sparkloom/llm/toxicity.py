@@ -116,7 +116,7 @@ def fit(docs: DataFrame, labels: DataFrame, most_toxic: int = MOST_TOXIC, most_u
         return Model(-500.0, {})
     prior = min(max(n[1] / n[0], 1e-4), 0.9)
     share = lambda most, of: F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(min(1.0, most / max(of, 1)) * (1 << 20))
-    examples = few(known.where((F.col("toxic") == 1) & share(most_toxic, n[1])).select("doc_id"), 2 * most_toxic)
+    examples = few(known.where((F.col("toxic") == 1) & share(most_toxic, n[1])).select("doc_id"))
     toxic = texts.join(examples, "doc_id", "left_semi").select(F.lit(True).alias("toxic"), "text")
     rows = written(toxic.unionByName(texts.where(share(most_unlabelled, n_docs)).select(F.lit(False).alias("toxic"), "text")))
     sizes = {r.toxic: r.n for r in rows.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
