@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import join_counted, written
 
 
-def _to_least(edges: DataFrame) -> DataFrame:
-    """Edges (u, v) with the least of u and its neighbours as m. The least is aggregated before it is dealt out, and the join splits a u of many rows."""
-    return edges.join(edges.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")), "u")
+def _to_least(edges: DataFrame, total: int) -> DataFrame:
+    """Edges (u, v) with the least of u and its neighbours as m. The least is aggregated before it is dealt out, and nodes of very many edges are joined where these are."""
+    least = written(edges.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count("*").alias("c")))
+    return join_counted(edges, least, "u", total).select("u", "v", "m")
 
 
 def _tidy(edges: DataFrame) -> DataFrame:
@@ -25,12 +26,13 @@ def connected_components(edges: DataFrame) -> DataFrame:
     """
     now, mark = written(_tidy(edges.select("u", "v").where("u IS NOT NULL AND v IS NOT NULL"))), None
     while True:
-        found = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if found == mark:
+        found = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        if not found.n or found == mark:
             break
         mark = found
-        large = _to_least(now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        near = _to_least(_tidy(large))
+        both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        large = _to_least(both, 2 * found.n).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        near = _to_least(written(_tidy(large)), found.n)
         small = near.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(near.select("u", F.col("m").alias("v")))
         now = written(_tidy(small))
     return now.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(now.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())

@@ -32,8 +32,6 @@ PERCENT = 75
 BANDS, ROWS, BITS = 32, 4, 4
 #: Signatures whose estimate lies more than six standard deviations below the threshold rule a pair out.
 MARGIN = 6.0
-#: So many ids of candidates at most are broadcast, to read their texts again; more are joined by a shuffle.
-BROADCAST_IDS = 1_000_000
 #: Members in a block.
 BLOCK = 256
 
@@ -278,7 +276,7 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
     ids = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"))
 
     def sets(touched: DataFrame) -> DataFrame:
-        return shingle_sets(ids.join(few(touched.withColumnRenamed("id", "doc_id"), BROADCAST_IDS), "doc_id", "left_semi"), words).dropDuplicates(["id"])
+        return shingle_sets(ids.join(few(touched.withColumnRenamed("id", "doc_id")), "doc_id", "left_semi"), words).dropDuplicates(["id"])
 
     links = near_links(written(reps), sets, percent, bits).unionByName(ties)
     component = connected_components(links).withColumnRenamed("id", "rep")
