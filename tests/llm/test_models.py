@@ -148,3 +148,32 @@ def test_pipeline(spark):
     t = bpe.tokenizer(P.path("byte_bpe_multi_50k.tiktoken"), P.PATTERN)
     enc = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=t.ranks, special_tokens={})
     assert {r.doc_id: list(r["ids"]) for r in stages["byte_bpe"].collect()} == {d: enc.encode_ordinary(x) for d, x in final.items()}
+
+
+def test_stages_on_odd_tables(spark, tmp_path):
+    """Nulls, empty and very long texts, rows that repeat an id, names that clash, an empty table."""
+    import corpus_pipeline
+
+    words = ["".join("bcdfglmnprst"[(i * 7 + k) % 12] + "aeiou"[(i + k) % 5] for k in range(3)) for i in range(300)]
+    rng = random.Random(3)
+    text = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    leak, twin = text(30), text(40)
+    rows = [(1, twin), (2, twin), (2, twin), (3, None), (4, ""), (None, text(20)), (None, f"x {leak} y"), (5, f"a {leak}"), (5, text(25)), (6, text(60_000)), (7, "write to a.b@example.org"), (3, None)]
+    names = ["id_", "h_", "found_", "gone_", "doc_id_", "d", "h", "found", "key", "component_id", "kept", "from"]
+    docs = spark.createDataFrame([(i, t, *names) for i, t in rows], "doc_id long, text string, " + ", ".join(f"{n} string" for n in names))
+    spark.createDataFrame([(1, leak), (2, None)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([(6, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    at, empty = docs, docs.limit(0)
+    seen = {}
+    for name, stage in corpus_pipeline.STAGES:
+        at, empty = stage(spark, at, str(tmp_path)), stage(spark, empty, str(tmp_path))
+        seen[name] = sorted((str(r.doc_id), getattr(r, "text", None)) for r in at.collect())
+        assert empty.count() == 0
+        if name != "byte_bpe":
+            assert at.columns == docs.columns
+    every = sorted((str(i), t) for i, t in rows)
+    assert len(seen["toxicity"]) == len(rows)
+    assert [x for x in every if x not in seen["minhash_near_dedup"]] == [("2", twin), ("2", twin)]
+    assert len(seen["minhash_near_dedup"]) - len(seen["benchmark_decontamination"]) == 2 and ("5", f"a {leak}") not in seen["benchmark_decontamination"]
+    assert ("None", f"x {leak} y") not in seen["benchmark_decontamination"] and ("7", "write to <EMAIL>") in seen["pii"]
+    assert len(seen["byte_bpe"]) == len(rows) - 4
