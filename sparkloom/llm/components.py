@@ -11,7 +11,7 @@ from .common import join_counted, written
 def _to_least(edges: DataFrame, total: int) -> DataFrame:
     """Edges (u, v) with the least of u and its neighbours as m. The least is aggregated before it is dealt out, and nodes of very many edges are joined where these are."""
     least = written(edges.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count("*").alias("c")))
-    return join_counted(edges, least, "u", total).select("u", "v", "m")
+    return join_counted(edges, least, "u", total, "v").select("u", "v", "m")
 
 
 def _tidy(edges: DataFrame) -> DataFrame:

@@ -1,13 +1,14 @@
 """Near-duplicate documents by b-bit MinHash.
 
-Items with equal shingle sets form a class, and one item stands for it. Of each item's minima only the low bits are kept, packed into longs; full minima
-are used once, for the band keys. Items that share a band key are candidates.
+Texts with equal shingle sets form a class, and classes are the items that are compared. Of each item's minima only the low bits are kept, packed into longs; full minima
+are used once, for the band keys. Items that share a band key, a bucket, are candidates.
 
 Candidates are linked in two steps, neither of which makes all pairs of a bucket:
 
 1. Each bucket has a hub, the member that sits in the most and fullest buckets. Each member is compared, by the collision-corrected similarity of the
-   packed signatures, with the hubs of its buckets, and exactly with the likeliest. Nearly all members of a group of copies are linked so.
-2. What that leaves open: in each connected group of candidates, the members outside the group's largest component are compared with all members, in
+   packed signatures, with the hubs of its buckets, and exactly with the likeliest; then with the other likely ones that this hasn't connected it with. Nearly all members of a group of
+   copies are linked so.
+2. What that leaves open: in each bucket, the members outside the bucket's largest component are compared with all members, in
    blocks of bounded size. Signatures rule out most pairs, within the block's task; exact intersections are counted for the rest there too, and a block
    returns at most one link between two components. So a link is lost only if a pair shares no band, which at 0.75 happens five times in a million.
 """
@@ -23,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Cache, few, written
+from .common import Cache, few, join_counted, member_bit, membership, tidy, written
 from .components import connected_components
 
 WORDS = 5
@@ -32,8 +33,8 @@ PERCENT = 75
 BANDS, ROWS, BITS = 32, 4, 4
 #: Signatures whose estimate lies more than six standard deviations below the threshold rule a pair out.
 MARGIN = 6.0
-#: Members in a block.
-BLOCK = 256
+#: Members in a block, about, and those that are compared with all others of it at once.
+BLOCK, AT_ONCE = 1024, 64
 
 _rng = np.random.default_rng(20240607)
 _SEEDS = (_rng.integers(0, 2**32, 1024, dtype=np.uint32) | np.uint32(1), _rng.integers(0, 2**32, 1024, dtype=np.uint32))
@@ -136,61 +137,73 @@ def _longs(column) -> np.ndarray:
     return np.array(column.tolist(), np.int64).reshape(len(column), -1).view(np.uint64)
 
 
-def near_links(items: DataFrame, sets: Callable[[DataFrame], DataFrame], percent: int = PERCENT, bits: int = BITS, loose: int | None = None) -> DataFrame:
+def near_links(items: DataFrame, sets: Callable[[DataFrame], DataFrame], percent: int = PERCENT, bits: int = BITS) -> DataFrame:
     """Links (u, v) that connect what all links of similar items would connect.
 
     items: id long, bands array<long>, sig array<long>, each id once. sets: gets a DataFrame of distinct ids (id) and returns (id, hashes array<long>).
     An empty table gives no links.
-
-    loose is for bands that unlike items share often, and for small sets: all members are compared exactly with their hubs, and only those similar to that percentage make groups for the
-    second step. At 50 for links of 75 that loses no link of an item that is linked with the hub: what is within a distance of 0.25 of it is within 0.5 of the hub.
     """
     spark = items.sparkSession
     first = items.select("sig").first()
     if first is None:
         return spark.createDataFrame([], "u long, v long")
     n_sig = len(first.sig)
+    need = least_equal(n_sig * (64 // bits), percent, bits)
     keys = items.select("id", F.explode("bands").alias("key"))
-    full = keys.groupBy("key").agg(F.count("*").alias("c")).where("c > 1")
-    member = written(keys.join(full, "key"))
+    full = written(keys.groupBy("key").agg(F.count("*").alias("c")).where("c > 1"))
+    total = full.agg(F.sum("c")).first()[0] or 0
+    at_once = few(full)
+    member = written(keys.join(at_once, "key") if at_once is not full else join_counted(keys, full, "key", total, "id"))
     degree = member.groupBy("id").agg(F.sum("c").alias("d"))
-    hubs = member.join(degree, "id").groupBy("key").agg((-F.max(F.struct("d", (-F.col("id")).alias("least")))["least"]).alias("hub"))
-    star = written(member.join(hubs, "key").where("id <> hub").select("id", "hub").distinct())
+    hubs = written(member.join(degree, "id").groupBy("key").agg((-F.max(F.struct("d", (-F.col("id")).alias("least")))["least"]).alias("hub"), F.count("*").alias("c")))
+    star = written(join_counted(member.select("key", "id"), hubs, "key", total, "id").where("id <> hub").select("id", "hub").distinct())
     sig = items.select("id", "sig")
-    touched = star.select("id").unionByName(star.select(F.col("hub").alias("id"))).distinct()
+    per_hub = written(star.groupBy("hub").agg(F.count("*").alias("c")))
+    pairs = per_hub.agg(F.sum("c")).first()[0] or 0
+    touched = written(star.select("id").unionByName(per_hub.select(F.col("hub").alias("id"))).distinct())
     hashes = written(sets(touched))
-    of_hub = hashes.select(F.col("id").alias("hub"), F.col("hashes").alias("hub_hashes"))
+    of_hub = lambda rows: written(per_hub.join(rows.withColumnsRenamed({"id": "hub", **{c: "hub_" + c for c in rows.columns if c != "id"}}), "hub"))
+    scored = join_counted(star.join(sig, "id"), of_hub(sig), "hub", pairs, "id").select("id", "hub", _estimate(F.col("sig"), F.col("hub_sig"), n_sig, bits).alias("agree"))
+    scored = written(scored.where(F.col("agree") >= need))
+    hub_hashes = of_hub(hashes)
     inter = F.size(F.array_intersect("hashes", "hub_hashes"))
-    judge = lambda pairs: written(pairs.join(hashes, "id").join(of_hub, "hub").select("id", "hub", inter.alias("both"), (F.size("hashes") + F.size("hub_hashes") - inter).alias("all")))
-    named = lambda pairs: pairs.select(F.col("id").alias("u"), F.col("hub").alias("v"))
-    if loose is None:
-        scored = star.join(sig, "id").join(sig.select(F.col("id").alias("hub"), F.col("sig").alias("hub_sig")), "hub").select("id", "hub", _estimate(F.col("sig"), F.col("hub_sig"), n_sig, bits).alias("agree"))
-        best = scored.where(F.col("agree") >= least_equal(n_sig * (64 // bits), percent, bits)).groupBy("id").agg((-F.max(F.struct("agree", (-F.col("hub")).alias("least")))["least"]).alias("hub"))
-        judged, near = judge(best), star
-    else:
-        judged = judge(star)
-        near = judged.where(f"100 * `both` >= {loose} * `all`")
-    linked = named(judged.where(f"100 * `both` >= {percent} * `all`"))
-    groups = connected_components(named(near)).withColumnRenamed("component", "g")
-    so_far = connected_components(linked)
-    state = written(groups.join(so_far, "id", "left").select("id", "g", F.coalesce("component", "id").alias("comp")))
-    parts = state.groupBy("g", "comp").agg(F.count("*").alias("n")).groupBy("g").agg(F.sum("n").alias("size"), F.count("*").alias("comps"), F.max(F.struct("n", (-F.col("comp")).alias("least"))).alias("top"))
-    parts = parts.where("comps > 1 AND size > 2").select("g", F.ceil(F.col("size") / BLOCK).cast("int").alias("n_all"), F.ceil((F.col("size") - F.col("top.n")) / BLOCK).cast("int").alias("n_rest"), (-F.col("top.least")).alias("main"))
-    open_ = written(state.join(parts, "g"))
+    similar = lambda pairs_: (
+        join_counted(pairs_.select("id", "hub").join(hashes, "id"), hub_hashes, "hub", pairs, "id")
+        .where(100 * inter >= percent * (F.size("hashes") + F.size("hub_hashes") - inter)).select(F.col("id").alias("u"), F.col("hub").alias("v"))
+    )
+    best = scored.groupBy("id").agg((-F.max(F.struct("agree", (-F.col("hub")).alias("least")))["least"]).alias("hub"))
+    linked = written(similar(best))
+    component = written(connected_components(linked))
+    of = lambda name: component.select(F.col("id").alias(name), F.col("component").alias("of_" + name))
+    apart = scored.join(best, ["id", "hub"], "left_anti").join(of("id"), "id", "left").join(of("hub"), "hub", "left").where(F.coalesce("of_id", "id") != F.coalesce("of_hub", "hub"))
+    linked = linked.unionByName(written(similar(apart)))
+
+    state = written(member.select("key", "id").join(of("id"), "id", "left").select("key", "id", F.coalesce("of_id", "id").alias("comp")))
+    parts = state.groupBy("key", "comp").agg(F.count("*").alias("n")).groupBy("key").agg(F.sum("n").alias("c"), F.count("*").alias("comps"), F.max(F.struct("n", (-F.col("comp")).alias("least"))).alias("top"))
+    # in a bucket of two one is the hub
+    parts = parts.where("comps > 1 AND c > 2").select("key", "c", F.ceil(F.col("c") / BLOCK).cast("int").alias("n_all"), F.ceil((F.col("c") - F.col("top.n")) / BLOCK).cast("int").alias("n_rest"), (-F.col("top.least")).alias("main"))
+    open_ = written(join_counted(state, written(parts), "key", total, "id"))
     where = lambda n, salt: F.pmod(F.xxhash64("id", F.lit(salt)), n).cast("int")
-    rest = open_.where("comp <> main").select("g", "id", "comp", F.lit(True).alias("rest"), where(F.col("n_rest"), 1).alias("i"), F.explode(F.sequence(F.lit(0), F.col("n_all") - 1)).alias("j"))
-    every = open_.select("g", "id", "comp", F.lit(False).alias("rest"), F.explode(F.sequence(F.lit(0), F.col("n_rest") - 1)).alias("i"), where(F.col("n_all"), 2).alias("j"))
+    rest = open_.where("comp <> main").select("key", "id", "comp", F.lit(True).alias("rest"), where(F.col("n_rest"), 1).alias("i"), F.explode(F.sequence(F.lit(0), F.col("n_all") - 1)).alias("j"))
+    every = open_.select("key", "id", "comp", F.lit(False).alias("rest"), F.explode(F.sequence(F.lit(0), F.col("n_rest") - 1)).alias("i"), where(F.col("n_all"), 2).alias("j"))
     dealt = rest.unionByName(every)
-    schema = "g long, id long, comp long, rest boolean, i int, j int"
-    need = least_equal(n_sig * (64 // bits), percent, bits)
+    schema = "key long, id long, comp long, rest boolean, i int, j int"
 
     def likely(pdf: pd.DataFrame) -> pd.DataFrame:
-        """The members of a block that have a likely partner of another component in it."""
+        """The members of a block that have a likely partner of another component in it; a pair counts in the first bucket that it shares."""
         a, b = pdf[pdf.rest], pdf[~pdf.rest]
         if not len(a) or not len(b):
-            return pdf.iloc[:0].drop(columns="sig")
-        good = (equal_fields(_longs(a.sig), _longs(b.sig), bits) >= need) & (a.comp.to_numpy()[:, None] != b.comp.to_numpy()[None, :])
-        return pd.concat([a[good.any(axis=1)], b[good.any(axis=0)]]).drop(columns="sig")
+            return pdf.iloc[:0].drop(columns=["sig", "bands"])
+        sig_b, bands_b, comp_b, key = _longs(b.sig), _longs(b.bands), b.comp.to_numpy(), np.int64(pdf.key.iloc[0]).view(np.uint64)
+        kept_a, kept_b = [], np.zeros(len(b), bool)
+        for at in range(0, len(a), AT_ONCE):
+            some = a.iloc[at : at + AT_ONCE]
+            i, k = np.nonzero((equal_fields(_longs(some.sig), sig_b, bits) >= need) & (some.comp.to_numpy()[:, None] != comp_b[None, :]))
+            of_a, of_b = _longs(some.bands)[i], bands_b[k]
+            first = of_a[np.arange(len(i)), (of_a == of_b).argmax(axis=1)] == key
+            kept_a.append(at + np.unique(i[first]))
+            kept_b[k[first]] = True
+        return pd.concat([a.iloc[np.concatenate(kept_a)], b[kept_b]]).drop(columns=["sig", "bands"])
 
     def exact(pdf: pd.DataFrame) -> pd.DataFrame:
         """Links between components, one at most for each two of them in the block, of the pairs that are similar."""
@@ -216,45 +229,56 @@ def near_links(items: DataFrame, sets: Callable[[DataFrame], DataFrame], percent
                         rows.append((u, ids[k]))
         return pd.DataFrame(rows, columns=["u", "v"]).astype("int64")
 
-    kept = written(dealt.join(sig, "id").groupBy("g", "i", "j").applyInPandas(likely, schema))
-    more = kept.join(hashes, "id").groupBy("g", "i", "j").applyInPandas(exact, "u long, v long")
+    kept = written(dealt.join(items, "id").groupBy("key", "i", "j").applyInPandas(likely, schema))
+    more = kept.join(hashes, "id").groupBy("key", "i", "j").applyInPandas(exact, "u long, v long")
     return written(linked.unionByName(more))
 
 
+def _digest(shingles: np.ndarray) -> tuple[int, int]:
+    """128 bits that stand for a set; the first 64 are its class's id."""
+    return tuple(np.frombuffer(xxhash.xxh3_128_digest(shingles.tobytes()), "<i8").tolist())
+
+
 def features(docs: DataFrame, words: int = WORDS, bands: int = BANDS, rows: int = ROWS, bits: int = BITS) -> DataFrame:
-    """doc_id, n_shingles, class key (k1, k2), bands and packed signature of each row; the last four are null for a text without words."""
+    """doc_id, bit (see member_bit(), of the id and the text), n_shingles, class key (k1, k2), bands and packed signature of each row; the last four are null for a text without words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(words)
         for batch in batches:
             n, keys, all_bands, sigs = [], [], [], []
-            for text in batch.column(1):
+            for text in batch.column(2):
                 s = shingler(text.as_py())
                 n.append(len(s))
                 least = minima(s, bands * rows) if len(s) else None
-                digest = np.frombuffer(xxhash.xxh3_128_digest(s.tobytes()), "<i8") if len(s) else (None, None)
-                keys.append(digest)
+                keys.append(_digest(s) if len(s) else (None, None))
                 all_bands.append(band_keys(least, bands, rows) if len(s) else None)
                 sigs.append(packed(least, bits) if len(s) else None)
             long_list = pa.list_(pa.int64())
-            columns = [batch.column(0), pa.array(n, pa.int64()), pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.int64()), pa.array(all_bands, long_list), pa.array(sigs, long_list)]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_shingles", "k1", "k2", "bands", "sig"])
+            columns = [batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.int64()), pa.array(all_bands, long_list), pa.array(sigs, long_list)]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "bit", "n_shingles", "k1", "k2", "bands", "sig"])
 
-    return docs.select(docs["doc_id"].cast("long").alias("d"), docs["text"].cast("string").alias("t")).mapInArrow(run, "doc_id long, n_shingles long, k1 long, k2 long, bands array<long>, sig array<long>")
+    return _marked(docs).mapInArrow(tidy(run), "doc_id long, bit long, n_shingles long, k1 long, k2 long, bands array<long>, sig array<long>")
 
 
-def shingle_sets(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """(id, hashes array<long>, sorted) of each row."""
+def _marked(docs: DataFrame) -> DataFrame:
+    d, t = docs["doc_id"].cast("long"), docs["text"].cast("string")
+    return docs.select(d.alias("d"), member_bit(d, t).alias("bit"), t.alias("t"))
+
+
+def shingle_sets(docs: DataFrame, wanted: bytes, words: int = WORDS) -> DataFrame:
+    """(id, hashes array<long>, sorted) of each row whose bit in wanted (membership()) is set; id is the class's. Texts are read where they are and not shuffled."""
+    table = docs.sparkSession.sparkContext.broadcast(wanted)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler = Shingler(words)
+        shingler, marks = Shingler(words), np.frombuffer(table.value, np.uint8)
         for batch in batches:
+            bit = batch.column(0).to_numpy()
+            batch = batch.take(pa.array(np.flatnonzero(marks[bit >> 3] >> (bit & 7).astype(np.uint8) & 1)))
             for at in range(0, batch.num_rows, 512):
-                some = batch.slice(at, 512)
-                sets = [np.sort(shingler(x.as_py()).view(np.int64)) for x in some.column(1)]
-                yield pa.RecordBatch.from_arrays([some.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["id", "hashes"])
+                sets = [s for s in (shingler(x.as_py()) for x in batch.column(1).slice(at, 512)) if len(s)]
+                yield pa.RecordBatch.from_arrays([pa.array([_digest(s)[0] for s in sets], pa.int64()), pa.array([np.sort(s.view(np.int64)) for s in sets], pa.list_(pa.int64()))], names=["id", "hashes"])
 
-    return docs.select(docs["doc_id"].cast("long").alias("id"), docs["text"].cast("string").alias("t")).mapInArrow(run, "id long, hashes array<long>")
+    return _marked(docs).select("bit", "t").mapInArrow(tidy(run), "id long, hashes array<long>")
 
 
 def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, bands: int = BANDS, rows: int = ROWS, bits: int = BITS) -> DataFrame:
@@ -262,24 +286,28 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
 
     Linked are documents whose sets of distinct shingles have an intersection of percent / 100 of the union at least. component_id is the smallest doc_id that links
     reach, kept marks its document. A null or empty text, or one of white space alone, has no shingles and is linked with nothing. Rows that repeat a doc_id get one
-    row each, with the same component; a doc_id is taken to have one text, and if it has several, links are sought for one of them. A row with a null doc_id is linked
+    row each; they are one document, which all its texts' links connect. A row with a null doc_id is linked
     with nothing, has a null component and is kept. Other columns aren't read. An empty table gives an empty one. Texts are read whole.
     """
     found = written(features(docs, words, bands, rows, bits))
-    classes = found.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"))
-    classes = written(classes)
+    real = found.where("n_shingles > 0 AND doc_id IS NOT NULL")
+    # a class is told by 64 bits; of its rows, the one with the least id stands for it
+    stands = F.min(F.struct("doc_id", "bit", "bands", "sig"))
+    classes = written(real.groupBy("k1").agg(F.count("*").alias("c"), stands.alias("s")).select(F.col("k1").alias("id"), "c", "s.*"))
     # an id that repeats with different texts stands in several classes, and ties them
-    of_id = written(found.where("n_shingles > 0 AND doc_id IS NOT NULL").join(classes, ["k1", "k2"]).select("doc_id", "rep").distinct())
-    ties = of_id.groupBy("doc_id").agg(F.min("rep").alias("v"), F.max("rep").alias("u")).where("u <> v")
-    ties = of_id.join(ties.select("doc_id", "v"), "doc_id").where("rep <> v").select(F.col("rep").alias("u"), "v")
-    reps = found.join(classes.select(F.col("rep").alias("doc_id"), "k1", "k2"), ["doc_id", "k1", "k2"]).select(F.col("doc_id").alias("id"), "bands", "sig").dropDuplicates(["id"])
-    ids = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"))
+    several = real.groupBy("doc_id").agg(F.min("k1").alias("v"), F.max("k1").alias("u")).where("u <> v").select("doc_id", "v")
+    ties = written(real.select("doc_id", "k1").join(few(written(several)), "doc_id").where("k1 <> v").select(F.col("k1").alias("u"), "v").distinct())
 
     def sets(touched: DataFrame) -> DataFrame:
-        return shingle_sets(ids.join(few(touched.withColumnRenamed("id", "doc_id")), "doc_id", "left_semi"), words).dropDuplicates(["id"])
-
-    links = near_links(written(reps), sets, percent, bits).unionByName(ties)
-    component = connected_components(links).withColumnRenamed("id", "rep")
-    joined = found.select("doc_id", "n_shingles", "k1", "k2").join(classes, ["k1", "k2"], "left").join(component, "rep", "left")
-    linked = F.when(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0), F.coalesce("component", "rep", "doc_id")).otherwise(F.col("doc_id"))
-    return joined.select("doc_id", "n_shingles", linked.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+        wanted = membership(classes.join(touched, "id").select("bit"))
+        return shingle_sets(docs, wanted, words).join(few(touched), "id", "left_semi").dropDuplicates(["id"])
+
+    links = near_links(classes.select("id", "bands", "sig"), sets, percent, bits).unionByName(ties)
+    component = connected_components(links)
+    of = classes.select("id", "c", "doc_id").join(component, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    least = of.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    of = written(of.join(least, "component").select(F.col("id").alias("k1"), "c", "component_id"))
+    total = of.agg(F.sum("c")).first()[0] or 0
+    linked = join_counted(real.select("doc_id", "n_shingles", "k1"), of, "k1", total, "doc_id").select("doc_id", "n_shingles", "component_id")
+    alone = found.where("n_shingles = 0 OR doc_id IS NULL").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    return linked.unionByName(alone).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))

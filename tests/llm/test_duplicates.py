@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from sparkloom.llm import components, neardup, substring
 
@@ -52,6 +53,42 @@ def test_against_brute_force(spark):
     assert len({c for _, c in wanted.values()}) > 20 and got[103].component_id == 102 and got[107].component_id == 107
 
 
+def test_ids_with_several_texts(spark):
+    """An id that repeats with different texts is linked by each of them."""
+    a, b = (" ".join(f"{p}{i}" for i in range(30)) for p in "ab")
+    docs = spark.createDataFrame([(5, a), (5, b), (3, a), (9, b + " end"), (7, "z y"), (8, a + " 1 " + b)], "doc_id long, text string")
+    got = sorted((r.doc_id, r.component_id, r.kept) for r in neardup.near_duplicates(docs).collect())
+    assert got == [(3, 3, True), (5, 3, False), (5, 3, False), (7, 7, True), (8, 8, True), (9, 3, False)]
+
+
+def test_members_unlike_their_hub(spark):
+    """Links between members of a bucket that their hub is unlike, in blocks too."""
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    core, rows = [word() for _ in range(60)], []
+    for i in range(60):
+        tail = [word() for _ in range(rng.choice([30, 60, 200]))]
+        for k in range(2):
+            w = core + tail
+            if k:
+                w[-1] = word()
+            rows.append((2 * i + k, " ".join(w)))
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute(rows)
+
+
+def test_hot_keys_are_dealt_out(spark):
+    from sparkloom.llm import common
+
+    rows = spark.createDataFrame([(1 if i % 3 else i, i) for i in range(3000)], "key long, id long")
+    counted = rows.groupBy("key").agg(F.count("*").alias("c"), F.max("id").alias("top"))
+    found = common.join_counted(rows, counted, "key", 3000, "id")
+    assert sorted(found.columns) == ["c", "id", "key", "top"] and found.count() == 3000 and found.where("key = 1").select("c", "top").distinct().count() == 1
+    marks = np.frombuffer(common.membership(rows.select(common.member_bit("id").alias("bit"))), np.uint8)
+    bits = np.array([r.b for r in rows.select(common.member_bit("id").alias("b")).collect()])
+    assert (marks[bits >> 3] >> (bits & 7) & 1).all() and np.bitwise_count(marks).sum() == len(set(bits.tolist()))
+
+
 def test_edges(spark):
     docs = spark.createDataFrame([(1, "a b c d e f"), (1, "a b c d e f"), (None, "a b c d e f"), (2, "a b c d e f")], "doc_id long, text string")
     got = sorted((str(r.doc_id), str(r.component_id), r.kept) for r in neardup.near_duplicates(docs).collect())
