@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from .common import written
+from .common import tidy, written
 
 SHARD, QUERY_BLOCK = 4096, 256
 LINKS, SEARCH = 16, 160
@@ -176,7 +176,7 @@ def search(index: DataFrame, queries: DataFrame, k: int, effort: int = SEARCH, b
                 columns = [pa.array([x[j] for x in out], kind) for j, kind in enumerate((pa.int64(), pa.int64(), pa.float64()))]
                 yield pa.RecordBatch.from_arrays(columns, names=["query_id", "vec_id", "score"])
 
-    found = dealt.select("ids", "vs", "sizes", "members", "dimensions", "vectors", "graph").mapInArrow(run, "query_id long, vec_id long, score double")
+    found = dealt.select("ids", "vs", "sizes", "members", "dimensions", "vectors", "graph").mapInArrow(tidy(run), "query_id long, vec_id long, score double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

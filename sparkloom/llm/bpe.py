@@ -25,13 +25,15 @@ import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 
-from .common import Cache
+from .common import tidy, Cache
 from .ragged import gather, offsets, slices, strings
 
 #: Bytes of a leaf, and ids on either side of a seam in the first window.
 LEAF, WINDOW = 8, 4
 #: Windows of more bytes are merged one by one.
 TOGETHER = 64
+#: Matches that are kept; fewer where ids and bytes leave the worker, which take memory too.
+MOST_KNOWN, FEW_KNOWN = 400_000, 100_000
 NONE = np.int32(2**31 - 1)
 #: A space next to other white space.
 SPACES = re.compile(r" \s|\s ").search
@@ -89,7 +91,7 @@ class ByteBpe:
             self.size_of[i] = len(token)
         splits = ((self.ranks.get(t[:k]), self.ranks.get(t[k:]), i) for t, i in self.ranks.items() for k in range(1, len(t)))
         self.pairs = Pairs({(a, b): i for a, b, i in splits if a is not None and b is not None})
-        self.known = Cache(None, 400_000)  # of matches: ids as 32-bit integers
+        self.known = Cache(None, MOST_KNOWN)  # of matches: ids as 32-bit integers
         self.joins = 0
 
     # merging bytes
@@ -339,16 +341,18 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, id_col: str = "do
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = tokenizer(path, pattern)
+        bpe.known.most = FEW_KNOWN
         try:
             for batch in batches:
-                for some in slices(batch, 1, 2 << 20):
+                for some in slices(batch, 1, 1 << 20):
                     ids, at = bpe.encode_texts(some.column(1))
                     decoded = [bpe.decode(ids[a:b].tolist()) for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
                     yield pa.RecordBatch.from_arrays([some.column(0), pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(ids)), pa.array(decoded, pa.binary())], names=["id", "ids", "decoded"])
         finally:
             bpe.known.clear()  # the worker goes on to other work, which needs the memory
+            bpe.known.most = MOST_KNOWN
 
-    out = docs.select(docs[id_col].alias("id"), docs[text_col].cast("string").alias("t")).mapInArrow(run, f"id {kind}, ids array<int>, decoded binary")
+    out = docs.select(docs[id_col].alias("id"), docs[text_col].cast("string").alias("t")).mapInArrow(tidy(run), f"id {kind}, ids array<int>, decoded binary")
     return out.withColumnRenamed("id", id_col)
 
 
@@ -368,4 +372,4 @@ def digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([some.column(0), pa.array(np.diff(at)), pa.array(a, pa.string()), pa.array(b, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select(docs["doc_id"], docs["text"].cast("string").alias("t")).mapInArrow(run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return docs.select(docs["doc_id"], docs["text"].cast("string").alias("t")).mapInArrow(tidy(run), f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -53,19 +57,40 @@ def few(rows: DataFrame, most: int = BROADCAST_BYTES) -> DataFrame:
     return F.broadcast(rows) if size <= most else rows
 
 
-#: Keys of more than one in so many rows are hot; there are no more of them than that.
-HOT_KEYS = 20_000
+#: Keys of more than one in so many rows are hot; there are no more of them than that. Keys of LEAST_HOT rows aren't.
+HOT_KEYS, LEAST_HOT = 20_000, 200
 
 
-def join_counted(rows: DataFrame, counted: DataFrame, key: str, total: int) -> DataFrame:
-    """rows joined with counted (key, c, ..), where c says how many of the total rows have a key.
+def join_counted(rows: DataFrame, counted: DataFrame, key: str, total: int, by: str) -> DataFrame:
+    """rows joined with counted (key, c, ..), each key once, where c says how many of the total rows have it; counted should be written.
 
-    Rows of hot keys are joined where they are, with the broadcast rows of counted for them, of which there are HOT_KEYS at most; only the others are shuffled by the key. counted should be written.
+    Rows of a hot key are dealt to several tasks by a hash of the column by, and the row of counted is repeated for each. Only hot keys and their numbers of parts are broadcast.
     """
-    limit = max(total // HOT_KEYS, 1000)
-    hot = counted.where(F.col("c") > limit)
-    spread = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(counted.where(F.col("c") <= limit), key)
-    return spread.unionByName(rows.join(F.broadcast(hot), key))
+    limit = max(total // HOT_KEYS, LEAST_HOT)
+    parts, part = free([*rows.columns, *counted.columns], "parts", "part")
+    counted = counted.withColumn(parts, F.greatest(F.ceil(F.col("c") / limit), F.lit(1)).cast("int"))
+    hot = F.broadcast(counted.where(F.col(parts) > 1).select(key, parts))
+    dealt = rows.join(hot, key, "left").withColumn(part, F.pmod(F.xxhash64(by), F.coalesce(parts, F.lit(1))).cast("int")).drop(parts)
+    repeated = counted.withColumn(part, F.explode(F.sequence(F.lit(0), F.col(parts) - 1))).drop(parts)
+    return dealt.join(repeated, [key, part]).drop(part)
+
+
+#: Bits of a membership table, and those of one of its rows.
+MEMBER_BITS, ROW_BITS = 1 << 27, 1 << 15
+
+
+def member_bit(*columns: str | Column) -> Column:
+    """Where a key stands in a membership table."""
+    return F.pmod(F.xxhash64(*columns), F.lit(MEMBER_BITS))
+
+
+def membership(keys: DataFrame) -> bytes:
+    """A table of MEMBER_BITS bits, of which those of keys (bit long; see member_bit()) are set: 16 MB, whatever the number of keys. Other keys may share their bits, so what it lets through needs another test."""
+    rows = keys.select(F.floor(F.col("bit") / ROW_BITS).alias("row"), (F.col("bit") % ROW_BITS).alias("at")).groupBy("row").agg(F.bitmap_construct_agg("at").alias("bits"))
+    out = bytearray(MEMBER_BITS // 8)
+    for r in rows.toLocalIterator():
+        out[r.row * (ROW_BITS // 8) : (r.row + 1) * (ROW_BITS // 8)] = r.bits
+    return bytes(out)
 
 
 def keys_of(docs: DataFrame) -> list[Column]:
@@ -97,6 +122,21 @@ def ascii_lower(column):
     return F.when(F.octet_length(column) == F.char_length(column), F.lower(column)).otherwise(F.translate(column, upper, upper.lower()))
 
 
+def tidy(run):
+    """run, a function from batches to batches, that gives memory back to the system when it ends: a worker lives on, and the next stage's work may be done by another process."""
+
+    def tidied(batches):
+        try:
+            yield from run(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(OSError, AttributeError):  # other C libraries than glibc
+                ctypes.CDLL(None).malloc_trim(0)
+
+    return tidied
+
+
 class Cache(dict):
     """A dict that makes missing values; trim() empties it once it is over its bound."""
 

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from .common import few, free, join_counted, written
+from .common import few, free, join_counted, tidy, written
 from .components import connected_components
 from .neardup import _MIX, PERCENT, WORDS, mix
 from .ragged import gather, offsets, slices, strings
@@ -123,7 +123,7 @@ def _units(docs: DataFrame, radius: int, percent: int) -> DataFrame:
                     columns = [some.column(0).take(pa.array(text)), pa.array((first - at[text]).astype(np.int32)), pa.array((end - at[text]).astype(np.int32)), pa.array(key), bands]
                     yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "first", "end", "id", "bands"])
 
-    return docs.mapInArrow(run, "doc_id long, first int, end int, id long, bands array<long>")
+    return docs.mapInArrow(tidy(run), "doc_id long, first int, end int, id long, bands array<long>")
 
 
 def _chosen(docs: DataFrame, radius: int) -> DataFrame:
@@ -141,7 +141,7 @@ def _chosen(docs: DataFrame, radius: int) -> DataFrame:
                 values, n = _sets(h, first[mine], end[mine])
                 yield pa.RecordBatch.from_arrays([pa.array(key[mine]), _lists(values, n)], names=["id", "hashes"])
 
-    return docs.select("text", "wanted").mapInArrow(run, "id long, hashes array<long>")
+    return docs.select("text", "wanted").mapInArrow(tidy(run), "id long, hashes array<long>")
 
 
 def _joined(ids: list[int], sets: list[np.ndarray], sizes: list[int], percent: int) -> list[tuple[int, int]]:
@@ -195,7 +195,7 @@ def _compared(rows: DataFrame, percent: int) -> DataFrame:
             yield links(out)
         yield links(_joined(ids, sets, sizes, percent) if len(ids) > 1 and open_ else [])
 
-    return rows.select("key", "id", "n", "shared", "rest").repartition("key").sortWithinPartitions("key").mapInArrow(run, "u long, v long")
+    return rows.select("key", "id", "n", "shared", "rest").repartition("key").sortWithinPartitions("key").mapInArrow(tidy(run), "u long, v long")
 
 
 def similar_links(items: DataFrame, percent: int = PERCENT, hot: int = HOT, levels: int = LEVELS) -> DataFrame:
@@ -210,7 +210,7 @@ def similar_links(items: DataFrame, percent: int = PERCENT, hot: int = HOT, leve
     tokens = sized.select("id", "n", F.explode("hashes").alias("token"))
     often = written(tokens.groupBy("token").agg(F.count("*").alias("c")).where("c > 1"))
     total = often.agg(F.sum("c")).first()[0] or 0
-    listed = join_counted(tokens, often, "token", total).groupBy("id", "n").agg(F.array_sort(F.collect_list(F.struct("c", "token"))).alias("s"))
+    listed = join_counted(tokens, often, "token", total, "id").groupBy("id", "n").agg(F.array_sort(F.collect_list(F.struct("c", "token"))).alias("s"))
     need = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
     rows = listed.select("id", "n", need.cast("int").alias("need"), (F.col("n") - F.size("s")).alias("own"), F.transform("s", lambda x: x["token"]).alias("shared"), F.lit(True).alias("rest"))
     rows = rows.where("need > own").select("*", F.posexplode(F.slice("shared", F.lit(1), F.col("need") - F.col("own"))).alias("q", "key"))
@@ -301,7 +301,7 @@ def remove_passages(docs: DataFrame, passage: int = PASSAGE) -> DataFrame:
             columns = [pa.array(texts, pa.string()) if i == place else batch.column(i) for i in range(lists)]
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    return joined.mapInArrow(run, docs.schema)
+    return joined.mapInArrow(tidy(run), docs.schema)
 
 
 def cut_words(text: str | None, spans: str | None) -> str | None:

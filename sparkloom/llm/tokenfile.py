@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from .common import Cache, written
+from .common import tidy, written, Cache
 from .ragged import gather, offsets, slices, strings
 
 BLOCK = 1024
@@ -242,7 +242,7 @@ def write_files(docs: DataFrame, path: str, end_id: int = 2, block: int = BLOCK,
             yield image()
 
     ordered = docs.select(docs[id_col].cast("long").alias("d"), docs[text_col].cast("string").alias("t")).repartitionByRange("d").sortWithinPartitions("d", "t")
-    files = written(ordered.mapInArrow(run, "part long, seq int, first long, n_ids long, file binary"))
+    files = written(ordered.mapInArrow(tidy(run), "part long, seq int, first long, n_ids long, file binary"))
     before, at = [], 0
     for part, n in sorted((r.part, r.n) for r in files.groupBy("part").agg(F.sum("n_ids").alias("n")).collect()):
         before.append((part, at))
@@ -272,7 +272,7 @@ def _read(files: DataFrame, with_ids: bool) -> DataFrame:
                 columns = [pa.array(x, pa.int64()) for x in (docs, starts, n, crc)]
                 yield pa.RecordBatch.from_arrays([*columns, *([pa.array(lists, pa.list_(pa.int64()))] if with_ids else [])], names=["doc_id", "start", "n_tokens", "ids_crc32", *(["ids"] if with_ids else [])])
 
-    return files.select("first", "file").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids array<long>" * with_ids)
+    return files.select("first", "file").mapInArrow(tidy(run), "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids array<long>" * with_ids)
 
 
 def read_digests(files: DataFrame) -> DataFrame:

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Cache, few, written
+from .common import few, tidy, written, Cache
 
 DIMENSIONS = 1 << 20
 PREFIXES = (4, 5, 6)
@@ -98,7 +98,7 @@ def _present(rows: DataFrame, wanted: dict[int, int] | None = None) -> DataFrame
                 ids = [sorted({i for w in map(known.__getitem__, words(t)) for i in w}) for t in some.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([some.column(0), pa.array(ids, pa.list_(pa.int32()))], names=["toxic", "ids"])
 
-    return rows.select("toxic", "text").mapInArrow(run, "toxic boolean, ids array<int>")
+    return rows.select("toxic", "text").mapInArrow(tidy(run), "toxic boolean, ids array<int>")
 
 
 def fit(docs: DataFrame, labels: DataFrame, most_toxic: int = MOST_TOXIC, most_unlabelled: int = MOST_UNLABELLED, most_features: int = MOST_FEATURES) -> Model:
@@ -146,7 +146,7 @@ def scores(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataF
             got = np.array([score(x.as_py()) for x in batch.column(1)], np.float64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(got), pa.array((got >= threshold).astype(np.int32))], names=["doc_id", "score", "predicted"])
 
-    return docs.select(docs["doc_id"], docs["text"].cast("string").alias("text")).mapInArrow(run, f"doc_id {kind}, score double, predicted int")
+    return docs.select(docs["doc_id"], docs["text"].cast("string").alias("text")).mapInArrow(tidy(run), f"doc_id {kind}, score double, predicted int")
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -165,4 +165,4 @@ def keep_clean(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD)
             keep = pa.array([score(x.as_py()) < threshold for x in batch.column(place)], pa.bool_())
             yield batch.filter(keep)
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run), docs.schema)
