@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
+import functools
 import gc
 import tempfile
 import uuid
@@ -48,9 +49,35 @@ def written(df: DataFrame) -> DataFrame:
     jvm = spark.sparkContext._jvm
     at = jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
+    if _scratch:
+        _scratch[-1].append(at)
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: The tables written in each running function that scratch() wraps.
+_scratch: list[list] = []
+
+
+def scratch(made):
+    """made, a function that returns a DataFrame, whose result is written; the tables that it wrote on the way are then deleted."""
+
+    @functools.wraps(made)
+    def run(*args, **options) -> DataFrame:
+        paths: list = []
+        _scratch.append(paths)
+        try:
+            out = made(*args, **options)
+        finally:
+            _scratch.pop()
+        kept = written(out)
+        conf = kept.sparkSession.sparkContext._jsc.hadoopConfiguration()
+        for at in paths:
+            at.getFileSystem(conf).delete(at, True)
+        return kept
+
+    return run
+
+
 def few(rows: DataFrame, most: int = BROADCAST_BYTES) -> DataFrame:
     """The rows, to be broadcast if they are shown to take so many bytes at most, as JSON and 32 for each row; else a join shuffles. rows is read for that, so it should be a written table or a small plan."""
     size = rows.agg(F.sum(F.octet_length(F.to_json(F.struct("*"))) + 32)).first()[0] or 0

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import join_counted, written
+from .common import join_counted, scratch, written
 
 
 def _to_least(edges: DataFrame, total: int) -> DataFrame:
@@ -18,6 +18,7 @@ def _tidy(edges: DataFrame) -> DataFrame:
     return edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
 
 
+@scratch
 def connected_components(edges: DataFrame) -> DataFrame:
     """(id, component) of every node of edges (u long, v long); component is the least id that can be reached, the node's own included.
 

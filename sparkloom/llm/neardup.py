@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Cache, few, join_counted, member_bit, membership, tidy, written
+from .common import Cache, few, join_counted, member_bit, membership, scratch, tidy, written
 from .components import connected_components
 
 WORDS = 5
@@ -137,6 +137,7 @@ def _longs(column) -> np.ndarray:
     return np.array(column.tolist(), np.int64).reshape(len(column), -1).view(np.uint64)
 
 
+@scratch
 def near_links(items: DataFrame, sets: Callable[[DataFrame], DataFrame], percent: int = PERCENT, bits: int = BITS) -> DataFrame:
     """Links (u, v) that connect what all links of similar items would connect.
 

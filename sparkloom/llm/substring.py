@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from .common import few, free, join_counted, tidy, written
+from .common import few, free, join_counted, scratch, tidy, written
 from .components import connected_components
 from .neardup import _MIX, PERCENT, WORDS, mix
 from .ragged import gather, offsets, slices, strings
@@ -198,6 +198,7 @@ def _compared(rows: DataFrame, percent: int) -> DataFrame:
     return rows.select("key", "id", "n", "shared", "rest").repartition("key").sortWithinPartitions("key").mapInArrow(tidy(run), "u long, v long")
 
 
+@scratch
 def similar_links(items: DataFrame, percent: int = PERCENT, hot: int = HOT, levels: int = LEVELS) -> DataFrame:
     """Links (u, v) that connect what all pairs of similar items would connect. items: id long, hashes array<long> (distinct), each id once. An empty table gives an empty one.
 
