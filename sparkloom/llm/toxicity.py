@@ -24,7 +24,7 @@ from .common import few, tidy, written, Cache
 
 DIMENSIONS = 1 << 20
 PREFIXES = (4, 5, 6)
-#: Texts of P and of U that a fit takes, about, at most; chosen by a hash of their ids.
+#: Texts of P and of U that the steps of a fit take, about, at most; chosen by a hash of their ids.
 MOST_TOXIC, MOST_UNLABELLED = 10_000, 20_000
 MOST_FEATURES = 4096
 THRESHOLD = 0.7
@@ -86,11 +86,11 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def _present(rows: DataFrame, wanted: dict[int, int] | None = None) -> DataFrame:
-    """rows (toxic, text) as (toxic boolean, ids array<int>): all distinct feature ids, or places of the wanted ones."""
+def _present(rows: DataFrame, wanted: dict[int, int]) -> DataFrame:
+    """rows (toxic, text) as (toxic boolean, ids array<int>): the places of the wanted feature ids that each text has."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = Cache(feature_ids if wanted is None else lambda w: tuple(wanted[i] for i in feature_ids(w) if i in wanted), 100_000)
+        known = Cache(lambda w: tuple(wanted[i] for i in feature_ids(w) if i in wanted), 100_000)
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 some = batch.slice(at, 256)
@@ -101,11 +101,33 @@ def _present(rows: DataFrame, wanted: dict[int, int] | None = None) -> DataFrame
     return rows.select("toxic", "text").mapInArrow(tidy(run), "toxic boolean, ids array<int>")
 
 
+def feature_counts(texts: DataFrame, wanted: np.ndarray | None = None) -> np.ndarray:
+    """How many of texts (text) have each of the DIMENSIONS feature ids; with wanted, a mask, the others count 0. Each task sends one row for each id that it saw, so what is shuffled and collected is bounded."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = Cache(feature_ids if wanted is None else lambda w: tuple(i for i in feature_ids(w) if wanted[i]), 100_000)
+        counts = np.zeros(DIMENSIONS, np.int64)
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                known.trim()
+                ids = [i for x in batch.column(0).slice(at, 256) for i in {i for w in map(known.__getitem__, words(x.as_py())) for i in w}]
+                np.add.at(counts, np.array(ids, np.int64), 1)
+        seen = np.flatnonzero(counts)
+        for at in range(0, len(seen), 1 << 16):
+            some = seen[at : at + (1 << 16)]
+            yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(counts[some])], names=["id", "n"])
+
+    found = texts.select("text").mapInArrow(tidy(run), "id int, n long").groupBy("id").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(DIMENSIONS, np.int64)
+    out[found["id"].to_numpy()] = found["n"].to_numpy()
+    return out
+
+
 def fit(docs: DataFrame, labels: DataFrame, most_toxic: int = MOST_TOXIC, most_unlabelled: int = MOST_UNLABELLED, most_features: int = MOST_FEATURES) -> Model:
     """A model from labels (doc_id, toxic) and texts of docs (doc_id, text), held-out rows apart.
 
-    P is what labels call toxic (1); U is a share of all texts, whose labels aren't looked at. The prior is the share of toxic rows among the labelled. What comes to the driver is bounded:
-    counts of most_features features and the features of about most_toxic + most_unlabelled texts. Null ids, texts and labels are left out; an id that is labelled twice is toxic if once so.
+    P is what labels call toxic (1); U is all texts, whose labels aren't looked at. The prior is the share of toxic rows among the labelled. Features are chosen by their counts in P and in all
+    of U; the steps of the fit take a share of U. What comes to the driver is bounded: DIMENSIONS counts and the features of about most_toxic + most_unlabelled texts. Null ids, texts and labels are left out; an id that is labelled twice is toxic if once so.
     Without toxic examples the model gives every text 0.
     """
     known = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").where(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
@@ -123,12 +145,12 @@ def fit(docs: DataFrame, labels: DataFrame, most_toxic: int = MOST_TOXIC, most_u
     n_p, n_u = sizes.get(True, 0), sizes.get(False, 0)
     if not n_p or not n_u:
         return Model(-500.0, {})
-    counted = _present(rows).select("toxic", F.explode("ids").alias("id")).groupBy("id").agg(F.sum(F.col("toxic").cast("int")).alias("p"), F.sum((~F.col("toxic")).cast("int")).alias("u"))
-    p, u = F.col("p") / n_p, (F.col("u") + 0.5) / (n_u + 1)
-    surprise = (p - u) / F.sqrt(u * (1 - u) / n_p + 1e-12)
+    in_p = feature_counts(rows.where("toxic"))
+    p, u = in_p / n_p, (feature_counts(texts, in_p >= 3) + 0.5) / (n_docs + 1)
+    surprise = (p - u) / np.sqrt(u * np.maximum(1 - u, 0) / n_p + 1e-12)
     # what only toxic texts have is 1 / prior times as usual in P as in U; most of that will do
-    usual = counted.where((F.col("p") >= 3) & (p > u * max(1.5, 0.6 / prior)) & (surprise > 4)).orderBy(surprise.desc(), "id").limit(most_features)
-    ids = sorted(r.id for r in usual.select("id").collect())
+    usual = np.flatnonzero((in_p >= 3) & (p > u * max(1.5, 0.6 / prior)) & (surprise > 4))
+    ids = sorted(usual[np.lexsort((usual, -surprise[usual]))[:most_features]].tolist())
     if not ids:
         return Model(-500.0, {})
     found = _present(rows, {x: i for i, x in enumerate(ids)}).toPandas()

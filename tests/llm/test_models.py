@@ -45,6 +45,19 @@ def corpus(spark):
     return spark.createDataFrame(docs, "doc_id long, text string, score string").repartition(4), spark.createDataFrame(labels, "doc_id long, quality int, toxic int"), {r[0]: r[2] for r in docs[:3000]}
 
 
+def test_features_are_counted_over_all_texts(spark):
+    texts = ["you idiot idiots", "Idiotic", None, "", "fine words", "you you"] * 40
+    docs = spark.createDataFrame([(t,) for t in texts], "text string").repartition(7)
+    want = np.zeros(toxicity.DIMENSIONS, np.int64)
+    for t in texts:
+        for i in {i for w in toxicity.words(t) for i in toxicity.feature_ids(w)}:
+            want[i] += 1
+    assert (toxicity.feature_counts(docs) == want).all()
+    some = want >= 80
+    assert some.any() and (toxicity.feature_counts(docs, some) == np.where(some, want, 0)).all()
+    assert not toxicity.feature_counts(docs.limit(0)).any()
+
+
 def test_held_out_accuracy(corpus):
     docs, labels, truth = corpus
     rows = toxicity.toxicity(docs, labels).collect()
