@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import heapq
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -21,7 +22,9 @@ from pyspark.sql import Window
 
 from .common import tidy, written
 
-SHARD, QUERY_BLOCK = 4096, 256
+#: Distinct vectors of a shard, about, and queries that are sent out at once.
+SHARD, QUERY_BLOCK = 4096, 1 << 14
+MOST_PARTS = 4096
 LINKS, SEARCH = 16, 160
 
 
@@ -116,10 +119,10 @@ class Graph:
                     heapq.heappush(open_, (d, node))
         return sorted((-d, node) for d, node in found)
 
-    def to_row(self) -> dict[str, bytes]:
+    def to_row(self, kind: str = "<f8") -> dict[str, bytes]:
         parts = [np.array([len(self.levels), *(k for nodes, flat in self.levels for k in flat.shape)], "<i4")]
         parts += [x.astype("<i4").ravel() for level in self.levels for x in level]
-        return {"vectors": self.vectors.astype("<f8").tobytes(), "graph": np.concatenate(parts).tobytes()}
+        return {"vectors": self.vectors.astype(kind).tobytes(), "graph": np.concatenate(parts).tobytes()}
 
     @classmethod
     def from_row(cls, vectors: bytes, graph: bytes, dimensions: int) -> Graph:
@@ -128,7 +131,9 @@ class Graph:
         for n, width in shapes.tolist():
             levels.append((flat[at : at + n], flat[at + n : at + n + n * width].reshape(n, width)))
             at += n + n * width
-        return cls(np.frombuffer(vectors, "<f8").reshape(-1, dimensions), levels)
+        # the lowest level has all nodes
+        kind = "<f4" if len(vectors) == 4 * int(flat[1]) * dimensions else "<f8"
+        return cls(np.frombuffer(vectors, kind).reshape(-1, dimensions).astype(np.float64), levels)
 
 
 def usable(rows: DataFrame, vector: str) -> DataFrame:
@@ -141,42 +146,60 @@ def usable(rows: DataFrame, vector: str) -> DataFrame:
 
 
 def build_index(vectors: DataFrame, k: int, shard: int = SHARD, links: int = LINKS) -> DataFrame:
-    """A row for each shard: shard, members (a list of up to k + 1 smallest ids for each node), vectors and graph. vectors (id long, v array<double>), usable ones."""
-    ranked = vectors.withColumn("n", F.row_number().over(Window.partitionBy("v").orderBy("id"))).where(F.col("n") <= k + 1)
-    nodes = written(ranked.groupBy("v").agg(F.sort_array(F.collect_list("id")).alias("members")))
-    shards = max(1, -(-nodes.count() // shard))
+    """A row for each shard: shard, members (a list of up to k + 1 smallest ids for each node), vectors and graph. vectors (id long, v array<float> or array<double>), usable ones; rows may repeat."""
+    kind = "<f4" if vectors.schema["v"].dataType.elementType.typeName() == "float" else "<f8"
+    shards = max(1, -(-(vectors.agg(F.approx_count_distinct(F.xxhash64("v"), 0.01)).first()[0] or 0) // shard))
+    ranked = vectors.withColumn("n", F.dense_rank().over(Window.partitionBy("v").orderBy("id"))).where(F.col("n") <= k + 1)
+    nodes = ranked.groupBy("v").agg(F.sort_array(F.collect_set("id")).alias("members"))
     dealt = nodes.withColumn("shard", F.pmod(F.xxhash64(F.col("members")[0]), F.lit(shards)).cast("int"))
 
     def build(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.iloc[np.argsort([m[0] for m in pdf.members], kind="stable")]
         graph = Graph.build(np.array(pdf.v.tolist(), np.float64), links)
         sizes = [len(m) for m in pdf.members]
-        return pd.DataFrame([{"shard": int(pdf["shard"].iloc[0]), "sizes": sizes, "members": np.concatenate(pdf.members.tolist()).tolist(), "dimensions": graph.vectors.shape[1], **graph.to_row()}])
+        return pd.DataFrame([{"shard": int(pdf["shard"].iloc[0]), "sizes": sizes, "members": np.concatenate(pdf.members.tolist()).tolist(), "dimensions": graph.vectors.shape[1], **graph.to_row(kind)}])
 
     schema = "shard int, sizes array<int>, members array<long>, dimensions int, vectors binary, graph binary"
-    return written(dealt.groupBy("shard").applyInPandas(build, schema))
+    # a shard is much work for its bytes, so partitions aren't merged by them
+    return written(dealt.repartition(min(shards, MOST_PARTS), "shard").groupBy("shard").applyInPandas(build, schema))
 
 
 def search(index: DataFrame, queries: DataFrame, k: int, effort: int = SEARCH, block: int = QUERY_BLOCK) -> DataFrame:
-    """query_id, rank, vec_id and score of the k nearest found of each query (id long, v array<double>), from all shards; not the query's own id."""
-    shards = index.count()
-    n = queries.count()
-    blocks = queries.groupBy(F.pmod(F.xxhash64("id"), F.lit(max(1, -(-n // block)))).alias("block")).agg(F.collect_list("id").alias("ids"), F.collect_list("v").alias("vs"))
-    dealt = blocks.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(max(0, shards - 1))))).join(index, "shard")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                graph = Graph.from_row(row["vectors"], row["graph"], row["dimensions"])
-                first = np.concatenate([[0], np.cumsum(row["sizes"])])
-                out: list[tuple[int, int, float]] = []
-                for own, v in zip(row["ids"], row["vs"], strict=True):
-                    near = [(d, i) for d, node in graph.search(np.array(v, np.float64), max(effort, k + 1)) for i in row["members"][first[node] : first[node + 1]] if i != own]
-                    out += [(own, i, d**0.5) for d, i in sorted(near)[:k]]
+    """query_id, rank, vec_id and score of the k nearest found of each query (id long, v array<double> or array<float>), from all shards; not the query's own id.
+
+    Queries are sent out in blocks of about so many, and for each block every shard is read where it lies and not shuffled. A task keeps the k nearest of its shards, and there are as many
+    tasks as cores for them, or twice that; so what is shuffled grows with the queries, and neither with the shards nor with their product.
+    """
+    spark = index.sparkSession
+    blocks = max(1, -(-queries.count() // block))
+    tasks = 2 * spark.sparkContext.defaultParallelism
+
+    def searched(number: int) -> DataFrame:
+        some = queries.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == number).select("id", "v").toArrow()
+        sent = spark.sparkContext.broadcast((some.column("id").to_numpy(), some.column("v").combine_chunks().flatten().to_numpy()))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            ids, flat = sent.value
+            asked = list(zip(ids.tolist(), flat.astype(np.float64).reshape(len(ids), -1), strict=True)) if len(ids) else []
+            best: list[list[tuple[float, int]]] = [[] for _ in asked]
+            for batch in batches:
+                for at in range(batch.num_rows):
+                    (row,) = batch.slice(at, 1).to_pylist()
+                    graph = Graph.from_row(row["vectors"], row["graph"], row["dimensions"])
+                    first, members = np.concatenate([[0], np.cumsum(row["sizes"])]).tolist(), row["members"]
+                    for j, (own, v) in enumerate(asked):
+                        near = [(d, i) for d, node in graph.search(v, max(effort, k + 1)) for i in members[first[node] : first[node + 1]] if i != own]
+                        best[j] = sorted(best[j] + sorted(near)[:k])[:k]
+            for at in range(0, len(asked), 1024):
+                out = [(own, i, d**0.5) for (own, _), found in zip(asked[at : at + 1024], best[at : at + 1024], strict=True) for d, i in found]
                 columns = [pa.array([x[j] for x in out], kind) for j, kind in enumerate((pa.int64(), pa.int64(), pa.float64()))]
                 yield pa.RecordBatch.from_arrays(columns, names=["query_id", "vec_id", "score"])
 
-    found = dealt.select("ids", "vs", "sizes", "members", "dimensions", "vectors", "graph").mapInArrow(tidy(run), "query_id long, vec_id long, score double")
+        out = written(index.coalesce(tasks).select("sizes", "members", "dimensions", "vectors", "graph").mapInArrow(tidy(run), "query_id long, vec_id long, score double"))
+        sent.destroy()
+        return out
+
+    found = reduce(DataFrame.unionByName, map(searched, range(blocks)))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
@@ -185,8 +208,10 @@ def nearest(rows: DataFrame, every: int = 100, k: int = 10, id_col: str = "vec_i
     """The k nearest of each row whose id is divisible by every, among all rows but itself, by Euclidean distance: query_id, rank, vec_id, score.
 
     Null ids and unusable vectors (usable()) take no part. Rows that repeat an id and vector count once; equal distances are in order of ids. With fewer candidates all are returned;
-    an empty table, or one without queries, gives an empty one. Other columns aren't read.
+    an empty table, or one without queries, gives an empty one. Other columns aren't read. Vectors of floats are kept as such, and distances are in double precision.
     """
-    named = rows.select(rows[id_col].cast("long").alias("id"), rows[vector_col].cast("array<double>").alias("v")).where("id IS NOT NULL")
-    vectors = written(usable(named, "v").distinct())
-    return search(build_index(vectors, k), vectors.where(F.col("id") % every == 0), k, effort)
+    exact = rows.schema[vector_col].dataType.elementType.typeName() == "float"
+    v = rows[vector_col].cast("array<float>" if exact else "array<double>")
+    vectors = usable(rows.select(rows[id_col].cast("long").alias("id"), v.alias("v")).where("id IS NOT NULL"), "v")
+    queries = written(vectors.where(F.col("id") % every == 0).distinct())
+    return search(build_index(vectors, k), queries, k, effort)

@@ -115,6 +115,23 @@ def test_recall(spark):
         assert len(found) == 10 and all(abs(s - scores[v]) < 1e-9 for v, s in found) and [s for _, s in found] == sorted(s for _, s in found)
 
 
+def test_search_sends_each_query_once(spark):
+    rng = np.random.default_rng(4)
+    rows = [(i, x.tolist()) for i, x in enumerate(rng.normal(size=(400, 8)).astype(np.float32))]
+    vectors = spark.createDataFrame(rows, "id long, v array<float>")
+    index = ann.build_index(vectors, 10, shard=20)
+    wanted = exact(rows, 4, 10)
+    found = ann.search(index, vectors.where("id % 4 = 0"), 10, block=30)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "explode" not in plan  # no table of queries by shards
+    got = {}
+    for r in found.orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append((r.vec_id, r.score))
+    assert 19 <= index.count() <= 21 and set(got) == set(wanted)
+    for q, near in wanted.items():
+        assert [v for v, _ in got[q]] == [v for v, _ in near] and all(abs(a - b) < 1e-12 for (_, a), (_, b) in zip(got[q], near, strict=True))
+
+
 def test_copies_and_unusable_vectors(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(i, [1.0, 2.0]) for i in range(0, 400)] + [(400, [5.0, 5.0]), (500, [1.0, 2.5]), (401, None), (402, [0.0, 0.0]), (403, [1.0, None]), (404, [nan, 1.0]), (405, [inf, 1.0]), (406, [1.0, 2.0, 3.0]), (None, [1.0, 2.0]), (0, [1.0, 2.0])]
