@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkloom.llm import bpe, decontam, neardup, pii, toxicity
-from sparkloom.llm.common import few, free, keys_of, table, written
+from sparkloom.llm.common import few, free, keys_of, scratch, table, written
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -18,9 +18,14 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return toxicity.keep_clean(docs, table(spark, sf_dir, "labels"))
 
 
+@scratch
+def _near_copies(docs: DataFrame) -> DataFrame:
+    return neardup.near_duplicates(docs).where("NOT kept").select("doc_id").distinct()
+
+
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates, that with the smallest id. Texts without words and null ids are linked with nothing and stay; rows that repeat an id stay or go together."""
-    gone = written(neardup.near_duplicates(docs).where("NOT kept").select("doc_id").distinct())
+    gone = _near_copies(docs)
     (key,) = free(docs.columns, "doc_id_")
     return docs.join(few(gone).select(F.col("doc_id").alias(key)), docs["doc_id"].cast("long") == F.col(key), "left_anti")
 

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Cache, few, join_counted, member_bit, membership, scratch, tidy, written
+from .common import Cache, drop_written, few, join_counted, member_bit, membership, scratch, tidy, written
 from .components import connected_components
 
 WORDS = 5
@@ -162,22 +162,25 @@ def near_links(items: DataFrame, sets: Callable[[DataFrame], DataFrame], percent
     per_hub = written(star.groupBy("hub").agg(F.count("*").alias("c")))
     pairs = per_hub.agg(F.sum("c")).first()[0] or 0
     touched = written(star.select("id").unionByName(per_hub.select(F.col("hub").alias("id"))).distinct())
-    hashes = written(sets(touched))
     of_hub = lambda rows: written(per_hub.join(rows.withColumnsRenamed({"id": "hub", **{c: "hub_" + c for c in rows.columns if c != "id"}}), "hub"))
     scored = join_counted(star.join(sig, "id"), of_hub(sig), "hub", pairs, "id").select("id", "hub", _estimate(F.col("sig"), F.col("hub_sig"), n_sig, bits).alias("agree"))
     scored = written(scored.where(F.col("agree") >= need))
+    best = written(scored.groupBy("id").agg((-F.max(F.struct("agree", (-F.col("hub")).alias("least")))["least"]).alias("hub")))
+    # sets come by id, so that their likeliest hub is joined to them there; to join it later would shuffle all sets once more
+    sets_and_best = written(sets(touched).join(best, "id", "left"))
+    hashes = sets_and_best.select("id", "hashes")
     hub_hashes = of_hub(hashes)
     inter = F.size(F.array_intersect("hashes", "hub_hashes"))
     similar = lambda pairs_: (
-        join_counted(pairs_.select("id", "hub").join(hashes, "id"), hub_hashes, "hub", pairs, "id")
+        join_counted(pairs_, hub_hashes, "hub", pairs, "id")
         .where(100 * inter >= percent * (F.size("hashes") + F.size("hub_hashes") - inter)).select(F.col("id").alias("u"), F.col("hub").alias("v"))
     )
-    best = scored.groupBy("id").agg((-F.max(F.struct("agree", (-F.col("hub")).alias("least")))["least"]).alias("hub"))
-    linked = written(similar(best))
+    linked = written(similar(sets_and_best.where("hub IS NOT NULL")))
     component = written(connected_components(linked))
     of = lambda name: component.select(F.col("id").alias(name), F.col("component").alias("of_" + name))
     apart = scored.join(best, ["id", "hub"], "left_anti").join(of("id"), "id", "left").join(of("hub"), "hub", "left").where(F.coalesce("of_id", "id") != F.coalesce("of_hub", "hub"))
-    linked = linked.unionByName(written(similar(apart)))
+    linked = linked.unionByName(written(similar(apart.select("id", "hub").join(hashes, "id"))))
+    drop_written(hub_hashes)
 
     state = written(member.select("key", "id").join(of("id"), "id", "left").select("key", "id", F.coalesce("of_id", "id").alias("comp")))
     parts = state.groupBy("key", "comp").agg(F.count("*").alias("n")).groupBy("key").agg(F.sum("n").alias("c"), F.count("*").alias("comps"), F.max(F.struct("n", (-F.col("comp")).alias("least"))).alias("top"))
@@ -290,11 +293,15 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
     row each; they are one document, which all its texts' links connect. A row with a null doc_id is linked
     with nothing, has a null component and is kept. Other columns aren't read. An empty table gives an empty one. Texts are read whole.
     """
-    found = written(features(docs, words, bands, rows, bits))
-    real = found.where("n_shingles > 0 AND doc_id IS NOT NULL")
+    wide = written(features(docs, words, bands, rows, bits))
+    linkable = "n_shingles > 0 AND doc_id IS NOT NULL"
     # a class is told by 64 bits; of its rows, the one with the least id stands for it
     stands = F.min(F.struct("doc_id", "bit", "bands", "sig"))
-    classes = written(real.groupBy("k1").agg(F.count("*").alias("c"), stands.alias("s")).select(F.col("k1").alias("id"), "c", "s.*"))
+    classes = written(wide.where(linkable).groupBy("k1").agg(F.count("*").alias("c"), stands.alias("s")).select(F.col("k1").alias("id"), "c", "s.*"))
+    # from here on, only classes need bands and signatures
+    found = written(wide.select("doc_id", "n_shingles", "k1"))
+    drop_written(wide)
+    real = found.where(linkable)
     # an id that repeats with different texts stands in several classes, and ties them
     several = real.groupBy("doc_id").agg(F.min("k1").alias("v"), F.max("k1").alias("u")).where("u <> v").select("doc_id", "v")
     ties = written(real.select("doc_id", "k1").join(few(written(several)), "doc_id").where("k1 <> v").select(F.col("k1").alias("u"), "v").distinct())

@@ -1,9 +1,11 @@
 import random
+import time
+from pathlib import Path
 
 import numpy as np
 from pyspark.sql import functions as F
 
-from sparkloom.llm import components, neardup, substring
+from sparkloom.llm import common, components, neardup, substring
 
 
 def brute(rows, k=5):
@@ -188,3 +190,43 @@ def test_similar_links(spark):
     for hot, levels in ((10_000, 3), (6, 3), (2, 6), (4, 1)):
         got = components.connected_components(substring.similar_links(items, hot=hot, levels=levels)).collect()
         assert partition((r.id, r.component) for r in got) == partition(enumerate(root)), (hot, levels)
+
+
+def test_written_leaves_no_shuffle(spark):
+    """The shuffle files of a written table go at once, not when the driver collects its garbage; the session's own setting stays."""
+    disk = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    shuffles = lambda: {name for x in range(disk.getAllFiles().size()) if (name := disk.getAllFiles().apply(x).getName()).startswith("shuffle_")}
+    spark.sparkContext._jvm.System.gc()
+    before, held = shuffles(), spark.range(1000).withColumn("k", F.col("id") % 7)
+    setting = spark.conf.get(common.SWEEP, None)
+    got = common.written(held.repartition(4, "k").groupBy("id").agg(F.max("k").alias("k")).repartition(3, "k"))
+    for _ in range(100):
+        if not shuffles() - before:
+            break
+        time.sleep(0.1)
+    assert not shuffles() - before
+    assert spark.conf.get(common.SWEEP, None) == setting
+    assert got.count() == 1000 and held.groupBy("k").count().count() == 7
+
+
+def _tables(spark):
+    """The columns of each table in the shared folder."""
+    found = Path(common.shared_dir(spark).removeprefix("file://"), "sparkloom")
+    return {p.name: set(spark.read.parquet(str(p)).columns) for p in found.iterdir() if list(p.glob("*.parquet"))} if found.exists() else {}
+
+
+def test_tables_on_the_way_go(spark, monkeypatch):
+    """While links are sought, one table has the bands, that of the classes; what the pipeline's stage leaves behind is the list of those that go."""
+    import corpus_pipeline
+
+    rng = random.Random(7)
+    docs = spark.createDataFrame(list(enumerate(family(rng, 60) + [None, ""])), "doc_id long, text string").repartition(3)
+    before, seen, links = _tables(spark), [], neardup.near_links
+    new = lambda: {name: columns for name, columns in _tables(spark).items() if name not in before}
+    monkeypatch.setattr(neardup, "near_links", lambda *a, **k: (seen.append([c for c in new().values() if "bands" in c]), links(*a, **k))[1])
+    out = corpus_pipeline.drop_near_duplicates(spark, docs, "")
+    assert [len(x) for x in seen] == [1] and "id" in seen[0][0]
+    assert list(new().values()) == [{"doc_id"}]
+    kept = {r.doc_id for r in out.collect()}
+    assert kept == {i for i, (n, c) in brute([(r.doc_id, r.text) for r in docs.collect()]).items() if i == c}
+    assert 2 < len(kept) < 62
